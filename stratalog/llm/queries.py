@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import canonical, containers, conversations, history, languages, leaks, topn
+from stratalog.llm import canonical, containers, conversations, history, languages, leaks, reading, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +56,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(_read(spark, folder, "documents"), _read(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_conversations, p4_found, p5_found, p6_found, p7_found, p7_containers, p8_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _read(spark, folder, "documents").where("kind is null or kind <> 'capture_log'")
+    return reading.levels(documents, _read(spark, folder, "reading_labels")).select("doc_id", "level")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_conversations, p4_found, p5_found, p6_found, p7_found, p7_containers, p8_found, p9_found)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
