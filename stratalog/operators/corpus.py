@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.shared import written
+from stratalog.operators.skew import numbered
 
 # Content types that are never shown.
 HIDDEN_TYPES = ("thoughts", "reasoning_recap", "model_editable_context")
@@ -48,16 +48,10 @@ def assert_none(violations: DataFrame, what: str) -> None:
 def ordinals(merged: DataFrame) -> DataFrame:
     """The 0-based place of each message in its session: provider order, then time, then identity; nulls last.
 
-    Sorts over all partitions and adds per-partition counts, so that a session
-    of any size is spread.
+    A session of any size is spread over partitions.
     """
     order = [F.col("provider_order").asc_nulls_last(), F.col("create_time").asc_nulls_last(), F.col("local_identity")]
-    laid = written(merged.repartitionByRange(F.col("session_id"), *order).withColumn("_part", F.spark_partition_id()), "laid")
-    local = F.row_number().over(Window.partitionBy("session_id", "_part").orderBy(*order)) - 1
-    counts = laid.groupBy("session_id", "_part").agg(F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy("session_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = counts.withColumn("_first", F.coalesce(earlier, F.lit(0))).drop("_n")
-    return laid.withColumn("_local", local).join(firsts, ["session_id", "_part"]).withColumn("ordinal", (F.col("_local") + F.col("_first")).cast("bigint")).drop("_local", "_first", "_part")
+    return numbered(merged, ["session_id"], order, "ordinal")
 
 
 def session_bounds(sessions: DataFrame, messages: DataFrame) -> DataFrame:

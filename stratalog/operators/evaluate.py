@@ -43,7 +43,7 @@ def mmr_select(texts: DataFrame, k: int, weight: float, rank: str = "rank", word
                 worst[i] = max(worst[i], len(sets[i] & sets[best]) / either if either else 1.0)
         return pd.DataFrame({rank: [ranks[i] for i in out], "mmr_rank": range(1, len(out) + 1)})
 
-    return texts.select(F.col(rank).cast("bigint").alias(rank), words).groupBy(F.lit(0)).applyInPandas(choose, schema)
+    return texts.select(F.col(rank).cast("bigint").alias(rank), words).groupBy().applyInPandas(choose, schema)
 
 
 def target_ranks(ranked_rows: DataFrame, gold: DataFrame, case: str = "case_id", target: str = "target_fp", fp: str = "fp", rank: str = "rank") -> DataFrame:

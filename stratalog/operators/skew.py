@@ -105,3 +105,20 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, stats: DataFram
         on &= (F.col("left") > F.col("_before")) & (F.col("left") <= F.col("_before") + F.col("_n"))
         state = written(state.join(hist, on).select(*keys, "rank", (F.col("left") - F.col("_before")).alias("left"), F.col("_min").alias("lo"), F.col("_max").alias("hi"), (F.col("below") + F.col("_before")).alias("below"), F.col("_n").alias("equal")), "ranks")
     return reduce(DataFrame.unionByName, done).select(*keys, "rank", F.col("lo").alias("cut"), "below", "equal")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with each row's 0-based place among the rows of its key, in a total order.
+
+    The rows are sorted over all partitions, so those of one key may lie in
+    many; a row's place is its place in its partition plus the counts of the
+    partitions before it.
+    """
+    laid = written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "laid")
+    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    counts = laid.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.withColumn("_first", F.coalesce(earlier, F.lit(0))).drop("_n").withColumnsRenamed({k: f"_{k}" for k in (*keys, "_part")})
+    own = laid.withColumn("_local", local)
+    on = reduce(lambda a, b: a & b, (own[k].eqNullSafe(firsts[f"_{k}"]) for k in (*keys, "_part")))
+    return own.join(firsts, on).withColumn(name, (F.col("_local") + F.col("_first")).cast("bigint")).select(*df.columns, name)
