@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions.text import query_units, tokens
@@ -28,6 +28,10 @@ def build_index(messages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode("errorifexists").parquet(f"{path}/stats")
 
 
+def _shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
 def search_index(spark: SparkSession, path: str, query: str, mode: str = "strict") -> DataFrame:
     """row_id, session_id, ordinal, search_class, create_time and score of the matches; reads only the query terms' partitions.
 
@@ -45,7 +49,7 @@ def search_index(spark: SparkSession, path: str, query: str, mode: str = "strict
     for i, u in enumerate(units):
         starts = F.coalesce(F.try_element_at("at", F.lit(u[0])), F.array().cast("array<int>"))
         for k, w in enumerate(u[1:], 1):
-            starts = F.array_intersect(starts, F.transform(F.coalesce(F.try_element_at("at", F.lit(w)), F.array().cast("array<int>")), lambda p, k=k: p - k))
+            starts = F.array_intersect(starts, _shifted(F.coalesce(F.try_element_at("at", F.lit(w)), F.array().cast("array<int>")), k))
         docs = docs.withColumn(f"_f{i}", F.size(starts))
     counts = docs.agg(*[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(units))]).first()
     score, keep = F.lit(0.0), None
