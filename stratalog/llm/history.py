@@ -57,13 +57,14 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str | None = None, overlap: float = OVERLAP) -> None:
         self.spark, self.path, self.overlap, self.steps = spark, path or shared_path(spark, "history"), overlap, 0
+        self.fresh: dict[str, str] = {}  # this step's parts, no part of the history yet
         self.parts: dict[str, list[str]] = {"digests": [], "classes": [], "bands": [], "members": [], "links": []}
 
     def _append(self, table: str, df: DataFrame, key: str) -> DataFrame:
         """``df``'s rows, added to ``table`` in the partitions of ``key``."""
         at = os.path.join(self.path, table, f"step={self.steps}")
         df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(at)
-        self.parts[table].append(at)
+        self.fresh[table] = at
         return self._read(at, df)
 
     def _read(self, at: str, like: DataFrame) -> DataFrame:
@@ -91,60 +92,60 @@ class History:
         ids = records.select("artifact_id").distinct()
         own = members.join(ids, "artifact_id", "left_semi")
         sets = own.groupBy("artifact_id").agg(F.count("*").alias("size"), F.bit_xor("o1").alias("x1"), F.bit_xor("o2").alias("x2"))
-        sets = written(sets.select("artifact_id", F.md5(F.concat_ws(",", "size", "x1", "x2")).alias("set_id"), "size"), "sets")
+        sets = sets.select("artifact_id", F.unhex(F.md5(F.concat_ws(",", "size", "x1", "x2"))).alias("set_id"), F.col("size").cast("int").alias("size"))
+        sets = written(sets, "sets")
 
         digests = records.where("digest is not null").select("digest", "artifact_id")
-        classes = sets.select("set_id", "artifact_id", "size")
-        old_digests, old_classes = list(self.parts["digests"]), list(self.parts["classes"])
         new_digests = self._append("digests", digests, "digest")
-        new_classes = self._append("classes", classes, "set_id")
-        self.parts["digests"], self.parts["classes"] = old_digests, old_classes
         earlier_digests = self._earlier("digests", digests, new_digests).drop("bucket")
-        earlier_classes = self._earlier("classes", classes, new_classes).drop("bucket")
-        new_digests, new_classes = new_digests.drop("bucket"), new_classes.drop("bucket")
-
-        # a class of equal sets is represented by its least artifact; one that history knows has its keys there
-        fresh = new_classes.groupBy("set_id").agg(F.min("artifact_id").alias("artifact_id"), F.first("size").alias("size"))
-        fresh = written(fresh.join(earlier_classes.select("set_id").distinct(), "set_id", "left_anti"), "fresh")
-        set_members = own.join(fresh, "artifact_id").select("set_id", "size", "o1", "o2")
+        new_digests = new_digests.drop("bucket")
+
+        # a class of equal sets goes by its first artifact, its home; one that history knows keeps the home it has there
+        like = sets.select("set_id", "artifact_id", F.col("artifact_id").alias("home"))
+        probes = sets.select(F.pmod(F.xxhash64("set_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        earlier_classes = self._earlier("classes", like, probes).drop("bucket")
+        known = earlier_classes.select("set_id", "home").distinct()
+        first = sets.groupBy("set_id").agg(F.min("artifact_id").alias("first"), F.min("size").alias("size"))
+        homes = written(first.join(known, "set_id", "left").select("set_id", "size", F.coalesce("home", "first").alias("home"), F.col("home").isNull().alias("fresh")), "homes")
+        new_classes = self._append("classes", sets.join(homes.select("set_id", "home"), "set_id").select("set_id", "artifact_id", "home"), "set_id").drop("bucket")
+
+        fresh = homes.where("fresh").select("home", "size")
+        set_members = own.join(fresh.withColumnRenamed("home", "artifact_id"), "artifact_id").select(F.col("artifact_id").alias("home"), "size", "o1", "o2")
         mins = [F.min(F.xxhash64("o1", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-        signed = set_members.groupBy("set_id", "size").agg(*mins)
+        signed = set_members.groupBy("home", "size").agg(*mins)
         keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-        bands = signed.select("set_id", "size", F.explode(keys).alias("key"))
+        bands = signed.select("home", "size", F.explode(keys).alias("key"))
         new_bands = self._append("bands", bands, "key")
-        *self.parts["bands"], band_part = self.parts["bands"]
         earlier_bands = self._earlier("bands", bands, new_bands).drop("bucket")
         new_bands = new_bands.drop("bucket")
-        new_members = self._append("members", set_members.select("set_id", "o1", "o2"), "set_id")
+        new_members = self._append("members", set_members.select("home", "o1", "o2"), "home").drop("bucket")
 
-        a = new_bands.select(F.col("set_id").alias("a"), F.col("size").alias("na"), "key")
-        b = earlier_bands.unionByName(new_bands).select(F.col("set_id").alias("b"), F.col("size").alias("nb"), "key")
+        a = new_bands.select(F.col("home").alias("a"), F.col("size").alias("na"), "key")
+        b = earlier_bands.unionByName(new_bands).select(F.col("home").alias("b"), F.col("size").alias("nb"), "key")
         met = a.join(b, "key").where((F.col("a") != F.col("b")) & _overlapping(F.col("na"), F.col("nb"), self.overlap))
         # two new classes meet from both sides: keep one of them
-        pair = F.array_sort(F.array(F.struct(F.col("a").alias("s"), F.col("na").alias("n")), F.struct(F.col("b").alias("s"), F.col("nb").alias("n"))))
-        met = written(met.select(pair.alias("p")).select(F.col("p")[0]["s"].alias("a"), F.col("p")[1]["s"].alias("b"), (F.col("p")[0]["n"] + F.col("p")[1]["n"]).alias("both")).distinct(), "met")
-        known = self._earlier("members", new_members.drop("bucket"), None).drop("bucket")
-        left = met.join(known.withColumnRenamed("set_id", "a"), "a")
-        common = left.join(known.withColumnRenamed("set_id", "b"), ["b", "o1", "o2"]).groupBy("a", "b", "both").agg(F.count("*").alias("common"))
+        met = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both")).distinct(), "met")
+        sides = met.select(F.col("a").alias("home")).union(met.select("b")).distinct()
+        every_member = self._earlier("members", new_members, sides.select(F.pmod(F.xxhash64("home"), F.lit(BUCKETS)).cast("int").alias("bucket"))).drop("bucket").unionByName(new_members)
+        left = met.join(every_member.withColumnRenamed("home", "a"), "a")
+        common = left.join(every_member.withColumnRenamed("home", "b"), ["b", "o1", "o2"]).groupBy("a", "b", "both").agg(F.count("*").alias("common"))
         near = common.where(F.col("common") >= F.lit(self.overlap) * (F.col("both") - F.col("common")) - F.lit(1e-9))
-
-        links = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        links = near.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
         new_links = self._append("links", links, "a").drop("bucket")
-        *self.parts["links"], link_part = self.parts["links"]
-        links = self._earlier("links", links, new_classes.select(F.pmod(F.xxhash64("set_id"), F.lit(BUCKETS)).alias("bucket"))).drop("bucket").unionByName(new_links)
-        every = earlier_classes.unionByName(new_classes).select(F.col("set_id").alias("b"), F.col("artifact_id").alias("y"))
-        apart = new_classes.select(F.col("set_id").alias("a"), F.col("artifact_id").alias("x")).join(links, "a").join(every, "b").select("x", "y")
+
+        links = self._earlier("links", links, new_classes.select(F.pmod(F.xxhash64("home"), F.lit(BUCKETS)).cast("int").alias("bucket"))).drop("bucket").unionByName(new_links)
+        every = self._earlier("classes", like, None).drop("bucket").unionByName(new_classes).select(F.col("home").alias("b"), F.col("artifact_id").alias("y"))
+        apart = new_classes.select(F.col("home").alias("a"), F.col("artifact_id").alias("x")).join(links, "a").join(every, "b").select("x", "y")
 
         def equal(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
             fewer = new.select(key, F.col("artifact_id").alias("x"))
             return fewer.join(old.unionByName(new).select(key, F.col("artifact_id").alias("y")), key).where("x <> y").select("x", "y")
 
-        pairs = reduce(DataFrame.unionByName, [equal(new_digests, earlier_digests, "digest"), equal(new_classes.drop("size"), earlier_classes.drop("size"), "set_id"), apart])
+        pairs = reduce(DataFrame.unionByName, [equal(new_digests, earlier_digests, "digest"), equal(new_classes.drop("home"), earlier_classes.drop("home"), "set_id"), apart])
         out = written(pairs.select(F.least("x", "y").alias("first_artifact_id"), F.greatest("x", "y").alias("second_artifact_id")).distinct(), "pairs")
-        self.parts["bands"].append(band_part)
-        self.parts["links"].append(link_part)
-        for t in ("digests", "classes"):
-            self.parts[t].append(os.path.join(self.path, t, f"step={self.steps}"))
+        for table, at in self.fresh.items():
+            self.parts[table].append(at)
+        self.fresh = {}
         self.steps += 1
         return out
 
