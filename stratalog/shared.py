@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,5 +42,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table in the shared folder, read again: lineage ends here."""
     path = shared_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`written` made in this process, once their readers are done; how many there were."""
+    for at in _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    n = len(_written)
+    _written.clear()
+    return n

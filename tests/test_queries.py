@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__
+from stratalog import shared
 from stratalog.plans import core_queries, corpus_queries, search_queries
 
 duckdb = pytest.importorskip("duckdb")
@@ -44,5 +45,17 @@ def test_query(spark, db, name):
         assert rows == Counter(tuple(plain(r[named.index(c)]) for c in columns) for r in cur.fetchall())
 
 
+def test_tables_in_the_shared_folder(spark, tmp_path):
+    real = shared.shared_dir
+    shared.shared_dir = lambda _: f"file://{tmp_path}"
+    try:
+        df = shared.written(spark.range(3), "numbers")
+        assert df.count() == 3 and any(p.name.startswith("numbers-") for p in tmp_path.iterdir())
+        shared.release(spark)
+        assert not list(tmp_path.iterdir())
+    finally:
+        shared.shared_dir = real
+
+
 def test_entry(spark, db):
-    assert __spark_entry__.entry(spark).columns == ["session_id"]
+    assert __spark_entry__.entry(spark).columns == ["group_rank", "text", "occurrence_count", "first_rank", "row_ids"]
