@@ -36,7 +36,7 @@ SHRINK_WORD, SHRINK_GRAM = 4.0, 20.0
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _MACHINE = re.compile(r"[\d=/\\{}<>|_@#]|\w[:.]\w")
 _END = re.compile(r"[.!?]+[\"'”’»)\]*]*$")
-_LINE = "\x1e"
+_LINE = "\x02"  # white space to no one
 WORD, NONE, LINE = 0, 1, 2
 
 
@@ -45,6 +45,8 @@ def _token(token: str) -> tuple[str, int, bool, bool]:
     if token == _LINE:
         return "", LINE, False, False
     found = _LETTERS.search(token)
+    if token.endswith(":"):  # a speaker's label, or what comes before a quotation
+        return "", NONE, True, False
     if not found or _MACHINE.search(token):
         return "", NONE, bool(_END.search(token)), False
     return canonical_form(found[0]), WORD, bool(_END.search(token)), found[0][0].islower()
@@ -175,7 +177,7 @@ class Model:
         each = np.repeat(owner, size)
         self.prior = target.mean(axis=0)
         self.statistics = Statistics(number, target[each], words)
-        half = np.arange(len(texts)) % 2
+        half = np.random.default_rng(0).permutation(len(texts)) % 2
         x = np.zeros((len(first), 2 * LEVELS + 2))
         for h in (0, 1):
             own = half[each] != h
