@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def watch(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the files in a folder with their digests."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+    return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.zip").load(folder).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
 def ingest(spark: SparkSession, folder: str, ledger: str, quarantine: str, checkpoint: str, check: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
