@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from stratalog.shared import written
 
-DEEPEST = 10_000
-
 
 def roots(nodes: DataFrame, tree: str = "tree_id") -> DataFrame:
     """How many roots each tree has; other than one is a fault."""
@@ -21,19 +19,23 @@ def leaves(nodes: DataFrame, tree: str = "tree_id") -> DataFrame:
     return nodes.join(parents, [tree, "node_id"], "left_anti").select(tree, "node_id")
 
 
-def depths(nodes: DataFrame, tree: str = "tree_id", deepest: int = DEEPEST) -> DataFrame:
+def depths(nodes: DataFrame, tree: str = "tree_id", deepest: int | None = None) -> DataFrame:
     """Each node's ``root_id`` and ``depth`` by doubling of pointers; a node that reaches no root (a cycle, a missing parent) has null for both.
 
     Every round doubles the steps looked ahead, so a path of any length takes
-    its logarithm in rounds.
+    its logarithm in rounds. A pointer that is open after as many steps as the
+    largest tree has nodes is in a cycle. ``deepest`` ends the rounds early
+    for callers that know their trees; by default nothing is cut.
     """
     known = nodes.select(F.col(tree).alias("_t"), F.col("node_id").alias("_n"))
     own = nodes.select(tree, "node_id", "parent_id").join(known, (F.col(tree) == F.col("_t")) & (F.col("parent_id") == F.col("_n")), "left")
     # up: the ancestor ``steps`` above, null beyond the root; a missing parent is marked by lost
     own = own.select(tree, "node_id", F.col("_n").alias("up"), F.when(F.col("_n").isNotNull(), 1).otherwise(0).cast("bigint").alias("steps"), F.when(F.col("_n").isNull(), F.col("node_id")).alias("root_id"), (F.col("parent_id").isNotNull() & F.col("_n").isNull()).alias("lost"))
     own = written(own, "depths")
+    # a path without a cycle has fewer steps than its tree has nodes
+    most = own.groupBy(tree).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 if deepest is None else 2 * deepest
     reach = 1
-    while reach < 2 * deepest:
+    while reach < most:
         if own.where("up is not null").isEmpty():
             break
         other = own.select(F.col(tree).alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("root_id").alias("_root"), F.col("lost").alias("_lost"))
@@ -90,7 +92,7 @@ def evidence_spans(claims: DataFrame, texts: DataFrame) -> DataFrame:
     return own.select("claim_id", F.coalesce(F.expr("substring(text, int(start) + 1, int(length)) = evidence"), F.lit(False)).alias("holds"))
 
 
-def resolve(nodes: DataFrame, needs: DataFrame, rounds: int = 1000) -> DataFrame:
+def resolve(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """The round in which each node of a graph of inferences can be drawn; null for one in a cycle or with a missing source.
 
     ``nodes``: node_id. ``needs``: node_id, source_id.
@@ -98,11 +100,13 @@ def resolve(nodes: DataFrame, needs: DataFrame, rounds: int = 1000) -> DataFrame
     left = written(needs.select("node_id", "source_id").distinct(), "needs")
     done = written(nodes.select("node_id").distinct().join(left, "node_id", "left_anti").withColumn("round", F.lit(0).cast("bigint")), "done")
     fresh, out, k = done, done, 0
-    while not fresh.isEmpty() and k < rounds:
+    while not fresh.isEmpty():
         k += 1
         before = left
         left = written(left.join(fresh.select(F.col("node_id").alias("source_id")), "source_id", "left_anti").select("node_id", "source_id"), "needs")
         ready = before.select("node_id").distinct().join(left, "node_id", "left_anti")
         fresh = written(ready.join(nodes.select("node_id"), "node_id", "left_semi").withColumn("round", F.lit(k).cast("bigint")), "done")
         out = out.unionByName(fresh)
+        if k % 100 == 0:  # else the plan grows with the rounds
+            out = written(out, "done")
     return nodes.select("node_id").distinct().join(out, "node_id", "left")

@@ -140,6 +140,14 @@ def test_trees(spark):
     assert [(r.parent_id, r.child_id, r.tied) for r in trees.default_children(one).where("children > 1").collect()] == [("r", "a", 1)]
 
 
+def test_depths_of_a_long_path_beside_a_cycle(spark):
+    n = 33_000
+    path = spark.range(n).selectExpr("'t' AS tree_id", "string(id) AS node_id", "string(if(id = 0, null, id - 1)) AS parent_id", "0D AS create_time")
+    ring = spark.range(3).selectExpr("'u'", "string(id)", "string((id + 1) % 3)", "0D")
+    got = {(r.tree_id, r.node_id): (r.root_id, r.depth) for r in trees.depths(path.union(ring)).collect()}
+    assert got == {("t", str(i)): ("0", i) for i in range(n)} | {("u", str(i)): (None, None) for i in range(3)}
+
+
 def test_inferences_resolve_in_rounds(spark):
     n = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "node_id string")
     needs = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "e"), ("e", "d")], "node_id string, source_id string")
