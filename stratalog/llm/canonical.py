@@ -60,15 +60,17 @@ def _patterns() -> dict[str, re.Pattern]:
             compat.append(c)
     compat_class = _ranges(compat)
     mixed = f"[{_LATIN}][{_MARKS}]*[{_GREEK}{_CYRILLIC}]|[{_GREEK}][{_MARKS}]*[{_LATIN}{_CYRILLIC}]|[{_CYRILLIC}][{_MARKS}]*[{_LATIN}{_GREEK}]"
+    # marks of other scripts, and the vowels and finals of Hangul that join the letter before
+    more = "\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u0900-ः\u093c\u1161-\u1175\u11a8-\u11c2\u3099\u309a"
     return {
         # characters above the basic plane are a test of their own: they would slow down every set they are in
-        "any": re.compile(f"[{_ranges([c for c in compat if c < 0x10000])}{_MARKS}{IGNORABLE.split(chr(0x1BCA0))[0]}{_SPACES}ıɡɑ]"),
+        "any": re.compile(f"[{_ranges([c for c in compat if c < 0x10000])}{_MARKS}{more}{IGNORABLE.split(chr(0x1BCA0))[0]}{_SPACES}ıɡɑ]"),
         "above": re.compile("[\U00010000-\U0010ffff]"),
         "latin": re.compile(f"[{_LATIN}]"),
         "other": re.compile(f"[{_GREEK}{_CYRILLIC}]"),
         "greek": re.compile(f"[{_GREEK}]"),
         "compatibility": re.compile(f"[{compat_class}]"),
-        "marks": re.compile(f"[{_MARKS}\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u0900-ः\u093c\u3099\u309a]"),
+        "marks": re.compile(f"[{_MARKS}{more}]"),
         "ignorable": re.compile(f"[{IGNORABLE}]"),
         "space": re.compile(f"[{_SPACES}]"),
         "mixed": re.compile(mixed),

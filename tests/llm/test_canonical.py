@@ -42,3 +42,8 @@ def test_columns_with_nulls_repeats_and_long_texts(spark):
     assert sorted(got, key=repr) == sorted([("3", "f", ("compatibility",)), ("3", "f", ("compatibility",)), (None, "f", ("compatibility",)), ("5", 500_000, ("invisible",))], key=repr)
     assert [r.c for r in df.where("id <= 2").select(canonical(F.col("text")).alias("c")).collect()][0].form is None
     assert odd_records(df.where("false"), "t", "id", "text").collect() == []
+
+
+def test_decomposed_letters_of_other_scripts():
+    for text, form in (("か\u3099", "が"), ("\u1112\u1161\u11ab", "한"), ("ا\u0653", "آ")):
+        assert analyse(f"so {text}") == (f"so {form}", ("decomposed",)) and analyse(f"so {form}") == (f"so {form}", ())
