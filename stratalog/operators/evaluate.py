@@ -3,47 +3,69 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.operators.search import ranked
+from stratalog.shared import written
 
 RRF_K = 60
 
 
-def fuse_rrf(one: DataFrame, two: DataFrame, keys: Sequence[str], k: int = RRF_K, limit: int = 30) -> DataFrame:
-    """Two ranked lists (``rank``) fused by reciprocal rank; ties by better rank, then by key."""
-    a = one.select(*keys, F.col("rank").alias("rank_a"))
-    b = two.select(*keys, F.col("rank").alias("rank_b"))
-    both = a.join(b, list(keys), "full")
-    score = F.round(F.coalesce(1 / (k + F.col("rank_a")), F.lit(0.0)) + F.coalesce(1 / (k + F.col("rank_b")), F.lit(0.0)), 9)
-    order = [F.desc("rrf"), F.least("rank_a", "rank_b"), *[F.col(c) for c in keys]]
-    return ranked(both.withColumn("rrf", score).orderBy(*order).limit(limit), order, "fused_rank")
+def fuse_rrf(full: DataFrame, sparse: DataFrame, keys: Sequence[str], k: int = RRF_K, limit: int = 30) -> DataFrame:
+    """Two ranked lists (``rank``) fused by reciprocal rank: keys, full_rank, sparse_rank, rrf, fused_rank.
 
+    Ties go by the better rank, then the full view's rank, then the sparse
+    view's (none is last), then the keys. A key that a list holds twice fails
+    the job.
+    """
+    if k < 1 or limit < 1:
+        raise ValueError("k and the limit are 1 at least")
+
+    def own(df: DataFrame, name: str) -> DataFrame:
+        once = F.count("*").over(Window.partitionBy(*keys)) == 1
+        checked = F.when(once, F.col("rank")).otherwise(F.raise_error(F.lit(f"a candidate is twice in the {name} list")).cast("bigint"))
+        return df.select(*keys, checked.alias(f"{name}_rank"))
+
+    both = own(full, "full").join(own(sparse, "sparse"), list(keys), "full")
+    score = F.coalesce(1 / (k + F.col("full_rank")), F.lit(0.0)) + F.coalesce(1 / (k + F.col("sparse_rank")), F.lit(0.0))
+    order = [F.desc("rrf"), F.least("full_rank", "sparse_rank"), F.col("full_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last(), *[F.col(c) for c in keys]]
+    out = ranked(both.withColumn("rrf", score).orderBy(*order).limit(limit), order, "fused_rank")
+    return out.withColumn("rrf", F.round("rrf", 9))
 
-def mmr_select(texts: DataFrame, k: int, weight: float, rank: str = "rank", words: str = "words") -> DataFrame:
-    """Greedy maximal marginal relevance over a bounded list: relevance falls linearly with rank, redundancy is the greatest Jaccard to what is chosen.
 
-    The list must be bounded (a search's candidates); it is worked on in one task.
+def mmr_select(groups: DataFrame, k: int, relevance_weight: float, rank: str = "rank", words: str = "words") -> DataFrame:
+    """Greedy maximal marginal relevance over a bounded list: ``rank`` and ``mmr_rank`` of the ``k`` chosen.
+
+    Relevance falls linearly from 1 at the first to 0 at the last; redundancy
+    is the greatest Jaccard of word sets to what is chosen (two empty sets are
+    equal). ``relevance_weight`` weighs relevance, the rest redundancy; ties go
+    to the better rank. The list is a search's groups, of which there are few;
+    it is worked on in one task.
     """
+    if k < 1 or not 0.0 <= relevance_weight <= 1.0:
+        raise ValueError("k is 1 at least, the weight 0 to 1")
     schema = f"{rank} bigint, mmr_rank bigint"
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(rank)
         sets, ranks, n = [set(w) for w in frame[words]], list(frame[rank]), len(frame)
-        left, worst, out = list(range(n)), [0.0] * n, []
+        relevance = [1.0 - i / (n - 1) if n > 1 else 1.0 for i in range(n)]
+        left, nearest, out = dict.fromkeys(range(n)), [0.0] * n, []
         while left and len(out) < k:
-            best = max(left, key=lambda i: ((1 - weight) * (1 - i / n) - weight * worst[i], -i))
+            value = {i: relevance_weight * relevance[i] - (1.0 - relevance_weight) * nearest[i] for i in left}
+            best = max(left, key=lambda i: (value[i], -i))
             out.append(best)
-            left.remove(best)
+            del left[best]
             for i in left:
                 either = len(sets[i] | sets[best])
-                worst[i] = max(worst[i], len(sets[i] & sets[best]) / either if either else 1.0)
+                nearest[i] = max(nearest[i], len(sets[i] & sets[best]) / either if either else 1.0)
         return pd.DataFrame({rank: [ranks[i] for i in out], "mmr_rank": range(1, len(out) + 1)})
 
-    return texts.select(F.col(rank).cast("bigint").alias(rank), words).groupBy().applyInPandas(choose, schema)
+    return groups.select(F.col(rank).cast("bigint").alias(rank), words).groupBy().applyInPandas(choose, schema)
 
 
 def target_ranks(ranked_rows: DataFrame, gold: DataFrame, case: str = "case_id", target: str = "target_fp", fp: str = "fp", rank: str = "rank") -> DataFrame:
@@ -99,10 +121,16 @@ def choose_challenger(points: DataFrame, current_top: float) -> DataFrame:
     return points.where(F.col("r_at_10") >= current_top).orderBy(F.desc("r_at_10"), F.desc("recall"), "cap").limit(1)
 
 
-def percentiles(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, interpolated median and 95th percentile, and the value at place floor(0.95 n)."""
+def percentiles(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Mean, interpolated median and 95th percentile, and the value at place floor(0.95 n) from 0 (``p95_at``), the last at most."""
     out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"))
-    return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")])
+    each = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("_n").over(Window.partitionBy(*by))
+    at = F.least(F.floor(total * 0.95), total - 1) + 1
+    last = each.withColumn("_to", before).withColumn("_at", at).where((F.col("_to") >= F.col("_at")) & (F.col("_to") - F.col("_n") < F.col("_at")))
+    out = out.join(last.select(*by, F.col(value).alias("p95_at")), list(by), "left")
+    return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p95_at")])
 
 
 # Words that frame a request, and closed-class English words.
@@ -158,46 +186,59 @@ def select_view(features: DataFrame, threshold: float = 0.5) -> DataFrame:
     return features.groupBy("query_id").agg(ratio.alias("glue_ratio")).withColumn("view", F.when(F.col("glue_ratio") >= threshold, "sparse").otherwise("full"))
 
 
-def df_gated(postings: DataFrame, queries: DataFrame, least: int = 1, most: int = 128) -> DataFrame:
+#: So many query terms go to every task; more are joined by shuffling.
+QUERY_TERMS = 200_000
+
+
+def df_gated(postings: DataFrame, queries: DataFrame, n_docs: int, least: int = 1, most: int = 128) -> DataFrame:
     """Candidates of each query: documents with a term of moderate frequency, scored by all terms' idf; ``rank`` per query.
 
     ``postings``: term, doc_id (distinct). ``queries``: query_id, term. The
-    gate bounds each term's candidates by ``most``.
+    gate bounds each term's candidates by ``most``. Only postings of query
+    terms are kept, and of these only those of documents behind the gate are
+    weighed.
     """
-    df = postings.join(F.broadcast(queries.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
-    n = postings.select("doc_id").distinct().count()
-    weights = df.withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
-    terms = queries.join(weights, "term")
-    gate = terms.where(F.col("df").between(least, most)).join(postings, "term").select("query_id", "doc_id").distinct()
-    scored = terms.join(postings, "term").join(gate, ["query_id", "doc_id"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("idf"), 6).alias("score"))
+    wanted = queries.select("term").distinct()
+    hits = written(postings.join(F.broadcast(wanted) if wanted.count() <= QUERY_TERMS else wanted, "term", "left_semi").select("term", "doc_id"), "hits")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    terms = written(queries.join(df, "term").withColumn("idf", F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1), "terms")
+    gate = terms.where(F.col("df").between(least, most)).select("query_id", "term").join(hits, "term").select("query_id", "doc_id").distinct()
+    met = gate.join(hits.join(gate.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    scored = met.join(terms.select("query_id", "term", "idf"), ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("idf"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("bigint")
     return scored.withColumn("rank", place)
 
 
-def cover_density(words: Column, terms: Sequence[str]) -> Column:
-    """Cover-density rank: each shortest span that holds all terms counts one over its length; higher is better.
+# Fixed value: the weight of a word without a section.
+PLAIN_WEIGHT = 0.1
 
-    Python in Arrow batches: spans need the positions of all terms at once.
-    """
 
-    @F.pandas_udf("double")
-    def of(s: pd.Series) -> pd.Series:
-        need = set(terms)
-
-        def rank(tokens: Sequence[str] | None) -> float | None:
-            if tokens is None:
-                return None
-            last: dict[str, int] = {}
-            total, start = 0.0, -1
-            for i, t in enumerate(tokens):
-                if t in need:
-                    last[t] = i
-                    low = min(last.values())
-                    if len(last) == len(need) and low > start:
-                        total += 1.0 / (i - low + 1)
-                        start = low
-            return total
-
-        return s.map(rank)
-
-    return of(words)
+def cover_density(places: Sequence[Column], every: bool = True) -> Column:
+    """Cover-density rank of a text from the ascending places of each query word; higher is better.
+
+    A cover is a shortest stretch that holds all words (``every``), else one
+    place of any word. It counts PLAIN_WEIGHT over one plus the words in it
+    that the query hasn't. Native: the occurrences are walked once, with the
+    last place of each word.
+    """
+    if not every:
+        return reduce(lambda a, b: a + b, [F.coalesce(F.size(p), F.lit(0)) for p in places]) * PLAIN_WEIGHT
+
+    def of(word: int, p: Column) -> Column:
+        return F.transform(F.coalesce(p, F.array().cast("array<int>")), lambda x: F.struct(x.alias("at"), F.lit(word).alias("word")))
+
+    each = [of(i, p) for i, p in enumerate(places)]
+    met = F.array_sort(F.concat(*each))
+    # each occurrence with its number among all, so that a cover knows how many it holds
+    met = F.transform(met, lambda x, n: F.struct(x["at"].alias("at"), n.alias("n"), x["word"].alias("word")))
+    none = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("n"))
+    start = F.struct(F.array(*[none for _ in places]).alias("last"), F.lit(-1).alias("begun"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.transform(acc["last"], lambda v, i: F.when(i == x["word"], F.struct(x["at"].alias("at"), x["n"].alias("n"))).otherwise(v))
+        first = F.array_min(last)
+        fresh = first["at"] > acc["begun"]
+        noise = (x["at"] - first["at"]) - (x["n"] - first["n"])
+        return F.struct(last.alias("last"), F.when(fresh, first["at"]).otherwise(acc["begun"]).alias("begun"), (acc["sum"] + F.when(fresh, PLAIN_WEIGHT / (1 + noise)).otherwise(F.lit(0.0))).alias("sum"))
+
+    return F.aggregate(met, start, step, lambda acc: acc["sum"])

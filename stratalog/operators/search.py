@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +99,25 @@ def frequency(words: Column, unit: Sequence[str]) -> Column:
     return F.size(F.filter(places, lambda i: F.slice(words, i, len(unit)) == phrase))
 
 
+def wanted_units(query: str, mode: str) -> list[tuple[str, ...]]:
+    """The units a mode looks for: under phrase all words are one, under recall empty ones don't count."""
+    units = [tuple(u) for u in query_units(query)]
+    if mode == "phrase":
+        return [tuple(w for u in units for w in u)]
+    return [u for u in units if u] if mode == "recall" else units
+
+
+def with_scores(docs: DataFrame, weights: Mapping[tuple[str, ...], int], mode: str, dfs: Sequence[int], n: int, avgdl: float | None, dl: str, weigh_repeats: bool) -> DataFrame:
+    """The matches among ``docs``, which have each unit's frequency in ``_f0``, ``_f1``..., with ``score``."""
+    hits = [F.col(f"_f{i}") > 0 for i in range(len(weights))]
+    parts = []
+    for i, (w, df) in enumerate(zip(weights.values(), dfs)):
+        idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+        f = F.col(f"_f{i}")
+        parts.append((w if weigh_repeats else 1) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col(dl) / (avgdl or 1.0))))
+    return docs.where(reduce(lambda a, b: a & b if mode != "recall" else a | b, hits)).withColumn("score", F.round(-reduce(lambda a, b: a + b, parts), 6))
+
+
 def scored(messages: DataFrame, query: str, mode: str = "strict", weigh_repeats: bool = True) -> DataFrame:
     """Messages that match, with ``score``: minus BM25, so lower is better, rounded to six places.
 
@@ -107,27 +126,21 @@ def scored(messages: DataFrame, query: str, mode: str = "strict", weigh_repeats:
     or once. An empty phrase matches nothing under strict and is ignored
     under recall.
     """
-    units = [tuple(u) for u in query_units(query)]
-    if mode == "phrase":
-        units = [tuple(w for u in units for w in u)]
-    if mode == "recall":
-        units = [u for u in units if u]
+    units = wanted_units(query, mode)
     weights = Counter(units)
     if not units or not all(units):
         return messages.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    docs = indexable(messages).withColumn("_words", tokens(F.col("text")))
-    docs = docs.withColumn("_dl", F.size("_words")).withColumns({f"_f{i}": frequency(F.col("_words"), u) for i, u in enumerate(weights)}).drop("_words")
-    n = len(weights)
-    stats = docs.agg(F.count("*").alias("n"), F.avg("_dl").alias("dl"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(n)]).first()
-    hits = [F.col(f"_f{i}") > 0 for i in range(n)]
-    found = docs.where(reduce(lambda a, b: a & b if mode != "recall" else a | b, hits))
-    parts = []
-    for i, (u, w) in enumerate(weights.items()):
-        df = stats[f"d{i}"]
-        idf = max(math.log((stats["n"] - df + 0.5) / (df + 0.5)), LEAST_IDF)
-        f = F.col(f"_f{i}")
-        parts.append((w if weigh_repeats else 1) * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / (stats["dl"] or 1.0))))
-    return found.withColumn("score", F.round(-reduce(lambda a, b: a + b, parts), 6)).drop("_dl", *[f"_f{i}" for i in range(n)])
+    # the exploded array of one keeps the optimizer from splitting the text anew in each expression that uses the words
+    split = lambda df: df.withColumn("_words", F.explode(F.array(tokens(F.col("text"))))).withColumn("_dl", F.size("_words"))
+    low = F.lower("text")
+    has = [reduce(lambda a, b: a & b, [low.contains(w) for w in u]) for u in weights]
+    counts = split(indexable(messages).select("text", *[h.alias(f"_h{i}") for i, h in enumerate(has)]))
+    seen = [F.count_if(F.when(F.col(f"_h{i}"), frequency(F.col("_words"), u) > 0)) for i, u in enumerate(weights)]
+    stats = counts.agg(F.count("*").alias("n"), F.avg("_dl").alias("dl"), *seen).first()
+    docs = split(indexable(messages).where(reduce(lambda a, b: a & b if mode != "recall" else a | b, has)))
+    each = F.struct(*[frequency(F.col("_words"), u).alias(f"_f{i}") for i, u in enumerate(weights)])
+    docs = docs.withColumn("_f", F.explode(F.array(each))).select("*", "_f.*").drop("_f")
+    return with_scores(docs, weights, mode, list(stats)[2:], stats["n"], stats["dl"], "_dl", weigh_repeats).drop("_words", "_dl", *[f"_f{i}" for i in range(len(weights))])
 
 
 ORDER = ("score", "session_id", "ordinal", "row_id")
@@ -138,12 +151,21 @@ def candidates(messages: DataFrame, r: Request, cap: int | None = None) -> DataF
 
     Statistics are those of the whole corpus; scope filters come after.
     """
-    mode = "strict" if r.mode == "auto" else r.mode
-    found = in_scope(scored(messages, r.query, mode), r)
-    if mode == "recall":
+    found = in_scope(scored(messages, r.query, "strict" if r.mode == "auto" else r.mode), r)
+    return ranked(bounded(found, r, cap), ORDER, "candidate_rank")
+
+
+def bounded(found: DataFrame, r: Request, cap: int | None = None) -> DataFrame:
+    """The best matches within the budget, under recall at most ``cap`` of a session."""
+    if r.mode == "recall":
         cap = (r.limit if r.session is not None else min(SESSION_CAP, r.limit)) if cap is None else cap
         found = per_session(found, cap)
-    return ranked(found.orderBy(*ORDER).limit(r.budget), ORDER, "candidate_rank")
+    return found.orderBy(*ORDER).limit(r.budget)
+
+
+def recalling(r: Request) -> Request:
+    """The same request under recall."""
+    return replace(r, mode="recall")
 
 
 def per_session(found: DataFrame, cap: int) -> DataFrame:
@@ -200,7 +222,7 @@ def search(messages: DataFrame, r: Request) -> Answer:
     """The default search: candidates, exact groups, limit. auto turns to recall only if strict finds nothing."""
     rows = candidates(messages, r)
     if r.mode == "auto" and rows.isEmpty():
-        rows = candidates(messages, Request(r.query, "recall", r.scopes, r.session, r.from_time, r.to_time, r.limit, r.budget))
+        rows = candidates(messages, recalling(r))
     groups = exact_groups(rows, limit=r.limit)
     return Answer("NO_SIGNAL" if groups.isEmpty() else "FOUND", groups)
 

@@ -122,3 +122,16 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     own = laid.withColumn("_local", local)
     on = reduce(lambda a, b: a & b, (own[k].eqNullSafe(firsts[f"_{k}"]) for k in (*keys, "_part")))
     return own.join(firsts, on).withColumn(name, (F.col("_local") + F.col("_first")).cast("bigint")).select(*df.columns, name)
+
+
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str], name: str, block: int = 100_000) -> DataFrame:
+    """``df`` with the ``columns`` of the row before in its key as struct ``name``, null at a key's first row.
+
+    A key's rows are worked on in blocks by their place, the last row of a
+    block being known to the next one as well, so no key is one task's work.
+    """
+    own = numbered(df, keys, order, "_place")
+    home = F.floor(F.col("_place") / block)
+    own = own.withColumn("_at", F.explode(F.when(F.col("_place") % block == block - 1, F.array(home, home + 1)).otherwise(F.array(home))))
+    before = F.lag(F.struct(*columns)).over(Window.partitionBy(*keys, "_at").orderBy("_place"))
+    return own.withColumn(name, before).where(F.col("_at") == home).select(*df.columns, name)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions.text import content_fp, jaccard, query_units, tokens
 from stratalog.operators import federate as fed
 from stratalog.operators import search as s
+from stratalog.operators.index import index_of
+from stratalog.operators.skew import lagged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +36,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def index(spark: SparkSession, folder: str):
+    """The index of the messages; made at the first call and kept while the table doesn't change."""
+    return index_of(spark, f"{folder}/messages.parquet")
+
+
 def big(*names: str):
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
@@ -84,37 +91,37 @@ def bm25_scores(spark, folder):
 
 @query("strict_flat_search", f"WITH {candidates_sql(STRICT, 'strict', SCOPED, 30)} SELECT {HIT}, candidate_rank FROM candidates WHERE candidate_rank <= 10")
 def strict_flat_search(spark, folder):
-    return rows(s.flat(table(spark, folder, "messages"), s.Request(STRICT)), "candidate_rank")
+    return rows(index(spark, folder).flat(s.Request(STRICT)), "candidate_rank")
 
 
 @query("recall_flat_search", f"WITH {candidates_sql(RECALL, 'recall', SCOPED, 60, 3)} SELECT {HIT}, candidate_rank FROM candidates WHERE candidate_rank <= 20")
 def recall_flat_search(spark, folder):
-    return rows(s.flat(table(spark, folder, "messages"), s.Request(RECALL, "recall", limit=20)), "candidate_rank")
+    return rows(index(spark, folder).flat(s.Request(RECALL, "recall", limit=20)), "candidate_rank")
 
 
 @query("phrase_search", f"WITH {scored_sql(PHRASE, 'phrase')} SELECT {HIT} FROM scored")
 def phrase_search(spark, folder):
-    return rows(s.scored(table(spark, folder, "messages"), PHRASE, "phrase"))
+    return rows(index(spark, folder).scored(PHRASE, "phrase"))
 
 
 @query("scope_filter_search", f"WITH {candidates_sql(STRICT, 'strict', "search_class IN ('evidence', 'trace')", 300)} SELECT {HIT}, candidate_rank FROM candidates")
 def scope_filter_search(spark, folder):
-    return rows(s.candidates(table(spark, folder, "messages"), s.Request(STRICT, scopes=("evidence", "trace"), limit=100)), "candidate_rank")
+    return rows(index(spark, folder).candidates(s.Request(STRICT, scopes=("evidence", "trace"), limit=100)), "candidate_rank")
 
 
 @query("session_scoped_search", f"WITH {candidates_sql(RECALL, 'recall', f"{SCOPED} AND session_id = '{LONG_SESSION}'", 300, 100)} SELECT {HIT}, candidate_rank FROM candidates")
 def session_scoped_search(spark, folder):
-    return rows(s.candidates(table(spark, folder, "messages"), s.Request(RECALL, "recall", session=LONG_SESSION, limit=100)), "candidate_rank")
+    return rows(index(spark, folder).candidates(s.Request(RECALL, "recall", session=LONG_SESSION, limit=100)), "candidate_rank")
 
 
 @query("time_window_search", f"WITH {candidates_sql(STRICT, 'strict', f'{SCOPED} AND (create_time IS NULL OR create_time BETWEEN {TIME_FROM} AND {TIME_TO})', 300)} SELECT {HIT}, candidate_rank FROM candidates")
 def time_window_search(spark, folder):
-    return rows(s.candidates(table(spark, folder, "messages"), s.Request(STRICT, from_time=TIME_FROM, to_time=TIME_TO, limit=100)), "candidate_rank")
+    return rows(index(spark, folder).candidates(s.Request(STRICT, from_time=TIME_FROM, to_time=TIME_TO, limit=100)), "candidate_rank")
 
 
 @query("time_bounded_lookup", f"WITH {scored_sql(STRICT, 'strict')} SELECT {HIT} FROM scored WHERE create_time < {TIME_TO} ORDER BY {BY} LIMIT 50")
 def time_bounded_lookup(spark, folder):
-    return rows(s.before(table(spark, folder, "messages"), STRICT, TIME_TO, 50))
+    return rows(index(spark, folder).before(STRICT, TIME_TO, 50))
 
 
 def _any(words) -> str:
@@ -143,17 +150,17 @@ def _groups(df: DataFrame, rank: str, limit: int) -> DataFrame:
 @query("strict_grouped_search", f"WITH {candidates_sql('short note', 'strict', SCOPED, 300)} SELECT * FROM ({GROUPS.format(rank='candidate_rank', source='candidates')}) ORDER BY first_rank LIMIT 100")
 def strict_grouped_search(spark, folder):
     r = s.Request("short note", limit=100)
-    return _groups(s.candidates(table(spark, folder, "messages"), r), "candidate_rank", 100)
+    return _groups(index(spark, folder).candidates(r), "candidate_rank", 100)
 
 
 @query("recall_grouped_search", f"WITH {candidates_sql(RECALL, 'recall', SCOPED, 60, 3)} SELECT * FROM ({GROUPS.format(rank='candidate_rank', source='candidates')}) ORDER BY first_rank LIMIT 20")
 def recall_grouped_search(spark, folder):
-    return _groups(s.candidates(table(spark, folder, "messages"), s.Request(RECALL, "recall", limit=20)), "candidate_rank", 20)
+    return _groups(index(spark, folder).candidates(s.Request(RECALL, "recall", limit=20)), "candidate_rank", 20)
 
 
 @query("per_session_cap", f"WITH {scored_sql(RECALL, 'recall')} SELECT {HIT} FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score, ordinal, row_id) AS place FROM scored) WHERE place <= 3")
 def per_session_cap(spark, folder):
-    return rows(s.per_session(s.scored(table(spark, folder, "messages"), RECALL, "recall"), 3))
+    return rows(s.per_session(index(spark, folder).scored(RECALL, "recall"), 3))
 
 
 RERANK = f"""{candidates_sql(STRICT, 'recall', SCOPED, 60, 3)},
@@ -165,7 +172,7 @@ RERANK = f"""{candidates_sql(STRICT, 'recall', SCOPED, 60, 3)},
 
 @query("recall_rerank_interleave", f"WITH {RERANK} SELECT row_id, session_rank, row_index, row_number() OVER (ORDER BY row_index, session_rank) AS result_rank FROM rr ORDER BY row_index, session_rank LIMIT 20")
 def recall_rerank_interleave(spark, folder):
-    found = s.candidates(table(spark, folder, "messages"), s.Request(STRICT, "recall", limit=20))
+    found = index(spark, folder).candidates(s.Request(STRICT, "recall", limit=20))
     return s.rerank(found, STRICT, 20).select("row_id", "session_rank", "row_index", "result_rank")
 
 
@@ -176,14 +183,14 @@ def exact_text_groups_documents(spark, folder):
 
 @query("candidate_projection", f"WITH {candidates_sql(STRICT, 'strict', SCOPED, 30)} SELECT session_id, coalesce(message_id, local_identity) AS message_id, ordinal::BIGINT AS ordinal, score AS backend_score, 'lower_better' AS backend_score_order FROM candidates")
 def candidate_projection(spark, folder):
-    found = s.candidates(table(spark, folder, "messages"), s.Request(STRICT))
+    found = index(spark, folder).candidates(s.Request(STRICT))
     return found.select("session_id", F.coalesce("message_id", "local_identity").alias("message_id"), *big("ordinal"), F.col("score").alias("backend_score"), F.lit("lower_better").alias("backend_score_order"))
 
 
 @query("topk_diversity_before_after", f"""WITH {candidates_sql('short note', 'strict', SCOPED, 300)}, g AS (SELECT text, min(candidate_rank) AS first_rank FROM candidates GROUP BY text ORDER BY first_rank LIMIT 10)
     SELECT (SELECT count(DISTINCT text) FROM candidates WHERE candidate_rank <= 10) AS unique_before, (SELECT count(*) FROM g) AS unique_after, (SELECT count(*) FROM candidates) AS candidates""")
 def topk_diversity_before_after(spark, folder):
-    found = s.candidates(table(spark, folder, "messages"), s.Request("short note", limit=100))
+    found = index(spark, folder).candidates(s.Request("short note", limit=100))
     per = found.groupBy("text").agg(F.min("candidate_rank").alias("r"), F.count("*").alias("n"))
     return per.agg(F.count_if(F.col("r") <= 10).alias("unique_before"), F.least(F.count("*"), F.lit(10)).alias("unique_after"), F.sum("n").alias("candidates"))
 
@@ -221,7 +228,7 @@ SHARD_HITS = f"""{HOMES}, {scored_sql('short note', 'strict')},
 
 
 def _hits(spark, folder) -> DataFrame:
-    found = s.in_scope(s.scored(table(spark, folder, "messages"), "short note"), s.Request("short note"))
+    found = s.in_scope(index(spark, folder).scored("short note"), s.Request("short note"))
     return fed.shard_hits(found.join(homes(spark, folder).select("session_id", "shard_id"), "session_id"), 30)
 
 
@@ -268,7 +275,7 @@ def shard_health(spark, folder):
 
 @query("auto_mode_search", f"WITH {candidates_sql(RECALL, 'recall', SCOPED, 60, 3)} SELECT group_rank, text, occurrence_count FROM ({GROUPS.format(rank='candidate_rank', source='candidates')}) ORDER BY first_rank LIMIT 20")
 def auto_mode_search(spark, folder):
-    return s.search(table(spark, folder, "messages"), s.Request(RECALL, "auto", limit=20)).groups.select("group_rank", "text", "occurrence_count")
+    return index(spark, folder).search(s.Request(RECALL, "auto", limit=20)).groups.select("group_rank", "text", "occurrence_count")
 
 
 @query("content_fingerprint_dups", r"SELECT md5(trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g'))) AS fp, count(*) AS copies FROM messages WHERE text IS NOT NULL GROUP BY fp HAVING count(*) > 1")
@@ -276,9 +283,9 @@ def content_fingerprint_dups(spark, folder):
     return table(spark, folder, "messages").where("text is not null").groupBy(content_fp(F.col("text")).alias("fp")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("token_jaccard_neighbours", f"""WITH t AS (SELECT session_id, ordinal, row_id, list_distinct({WORDS}) AS w, lag(list_distinct({WORDS})) OVER (PARTITION BY session_id, ordinal // 1000 ORDER BY ordinal, row_id) AS p FROM messages WHERE search_class = 'dialogue')
+@query("token_jaccard_neighbours", f"""WITH t AS (SELECT session_id, ordinal, row_id, list_distinct({WORDS}) AS w, lag(list_distinct({WORDS})) OVER (PARTITION BY session_id ORDER BY ordinal, row_id) AS p FROM messages WHERE search_class = 'dialogue')
     SELECT row_id, round(CASE WHEN len(w) + len(p) = 0 THEN 1.0 ELSE len(list_intersect(w, p))::DOUBLE / len(list_distinct(list_concat(w, p))) END, 6) AS overlap FROM t WHERE p IS NOT NULL""")
 def token_jaccard_neighbours(spark, folder):
-    own = table(spark, folder, "messages").where("search_class = 'dialogue'").withColumn("w", F.array_distinct(tokens(F.col("text"))))
-    before = F.lag("w").over(Window.partitionBy("session_id", F.floor(F.col("ordinal") / 1000)).orderBy("ordinal", "row_id"))
-    return own.withColumn("p", before).where("p is not null").select("row_id", F.round(jaccard(F.col("w"), F.col("p")), 6).alias("overlap"))
+    own = table(spark, folder, "messages").where("search_class = 'dialogue'").select("session_id", "ordinal", "row_id", F.array_distinct(tokens(F.col("text"))).alias("w"))
+    own = lagged(own, ["session_id"], [F.col("ordinal"), F.col("row_id")], ["w"], "p").where("p is not null")
+    return own.select("row_id", F.round(jaccard(F.col("w"), F.col("p.w")), 6).alias("overlap"))

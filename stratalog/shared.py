@@ -55,3 +55,68 @@ def release(spark: SparkSession) -> int:
     n = len(_written)
     _written.clear()
     return n
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _fs(spark, path)
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    at, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """Length and time of change of all files at a path: equal as long as nothing was written there."""
+    at, fs = _fs(spark, path)
+    own = fs.getFileStatus(at)
+    files = [own] if own.isFile() else fs.listStatus(at)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if there is no such file."""
+    at, fs = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Publishes a small file whole or not at all; without ``replace`` False, and nothing written, if the file exists."""
+    jvm, (at, fs) = spark._jvm, _fs(spark, path)
+    if not replace and fs.exists(at):
+        return False
+    new, _ = _fs(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.new")
+    stream = fs.create(new, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE if replace else rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark._jsc.hadoopConfiguration()).rename(new.makeQualified(fs.getUri(), fs.getWorkingDirectory()), at.makeQualified(fs.getUri(), fs.getWorkingDirectory()), options)
+    except Exception as e:
+        fs.delete(new, False)
+        if not replace and "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _fs(spark, path)
+    fs.delete(at, True)

@@ -95,11 +95,23 @@ def test_auto_turns_to_recall_only_without_hits(messages):
 
 def test_an_index_answers_as_a_scan_does(spark, messages, tmp_path):
     path = f"file://{tmp_path}/index"
-    index.build_index(messages, path, buckets=4)
-    for q, mode in (("foo", "strict"), ("foo bar", "strict"), ("foo bar", "recall"), ("foo-bar", "strict"), ("absent", "strict")):
-        got = {r.row_id: r.score for r in index.search_index(spark, path, q, mode).collect()}
+    own = search.indexable(messages)
+    index.build_index(own, path)
+    again = index.Index(spark, path)  # as another process would open it
+    for q, mode in (("foo", "strict"), ("foo bar", "strict"), ("foo bar", "recall"), ("foo-bar", "strict"), ("foo bar", "phrase"), ("absent", "strict"), ("- foo", "recall"), ("- foo", "strict")):
+        got = {r.row_id: r.score for r in again.scored(q, mode).collect()}
         want = {r.row_id: r.score for r in search.scored(messages, q, mode).collect()}
         assert got == pytest.approx(want), q
+    r = Request("foo bar", "recall", limit=5)
+    assert again.candidates(r).select(*messages.columns, "score", "candidate_rank").collect() == search.candidates(messages, r).select(*messages.columns, "score", "candidate_rank").collect()
+    assert index.verify_index(again, own) and not index.verify_index(again, own.where("row_id <> 0"))
+
+
+def test_an_index_of_no_rows(spark, messages, tmp_path):
+    own = index.build_index(messages.where("row_id < 0"), f"file://{tmp_path}/index")
+    assert own.n_docs == 0 and own.scored("foo bar").count() == 0 and own.candidates(Request("foo")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        index.Index(spark, f"file://{tmp_path}/none")
 
 
 def test_text_functions(spark):
