@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,30 @@ def keyed_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float]
     return joined.select(F.col("key").alias(key), "n_rows", F.col("n").alias("n_values"), *[F.try_element_at("cuts", rank(p)).alias(f"q{p * 100:g}".replace(".", "_")) for p in probs])
 
 
-def heavy_keys(quantiles: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys of :func:`keyed_quantiles` that hold at least ``share`` of all its rows; a null key is not reported."""
-    total = quantiles.agg(F.sum("n_rows")).first()[0] or 0
-    return quantiles.where(F.col(key).isNotNull() & (F.col("n_rows") >= F.lit(share) * F.lit(total)))
+def heavy_keys(df: DataFrame, key: str, share: float, bins: int = 256) -> DataFrame:
+    """``key`` and ``n_rows`` of the keys that hold at least ``share`` of all rows, by exact selection.
+
+    Were all rows in order of a code of their key, a key with so many rows
+    would cover every place that is a multiple of that number. So the values
+    at those places, of which there are at most 1 / ``share``, are selected
+    exactly over all rows (:func:`select_ranks`: histograms that merge, refined
+    until each place holds one value), and the rows equal to them counted on
+    the way tell the heavy ones. Their keys are then looked up and compared
+    themselves, in case two keys have one code. No key is grouped but these.
+
+    A null key counts among all rows and is not reported; an empty table gives
+    none; other columns are ignored.
+    """
+    own = df.select(F.lit(0).alias("all"), F.col(key).alias("key"), F.when(F.col(key).isNotNull(), F.xxhash64(key)).alias("code"))
+    stats = own.groupBy("all").agg(F.count("*").alias("n_rows"), F.count("code").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"))
+    stats = written(stats, "keys")
+    total = (stats.first() or {"n_rows": 0})["n_rows"]
+    least = max(1, math.ceil(Fraction(str(share)) * total))
+
+    def wanted(s: DataFrame) -> DataFrame:
+        return s.where(F.col("n") >= least).withColumn("rank", F.explode(F.sequence(F.lit(least).cast("bigint"), F.col("n"), F.lit(least).cast("bigint"))))
+
+    cuts = select_ranks(own, ["all"], "code", stats.select("all", "n", "lo", "hi"), wanted, bins)
+    codes = cuts.where(F.col("equal") >= least).select(F.col("cut").alias("code")).distinct()
+    met = own.join(F.broadcast(codes), "code")  # at most 1 / share codes
+    return met.groupBy("key").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least).withColumnRenamed("key", key)

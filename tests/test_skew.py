@@ -49,12 +49,34 @@ def test_quantiles_of_nothing_and_of_clashing_columns(spark):
     assert keyed_quantiles(empty, "k", "v").collect() == []
     odd = spark.createDataFrame([("a", 1.0, 5, "x"), ("a", 2.0, 6, "y")], "key string, value double, n int, lo string")
     assert [tuple(x) for x in keyed_quantiles(odd, "key", "value").collect()] == [("a", 2, 2, 1.0)]
-    assert heavy_keys(keyed_quantiles(empty, "k", "v"), "k", 0.05).collect() == []
+    assert heavy_keys(empty, "k", 0.05).collect() == []
 
 
 def test_heavy_keys_counts_rows_without_values(spark):
     df = spark.createDataFrame([("a", None)] * 10 + [(str(i), 1.0) for i in range(90)] + [(None, 1.0)] * 100, "k string, v double")
-    assert [x.k for x in heavy_keys(keyed_quantiles(df, "k", "v"), "k", 0.05).collect()] == ["a"]
+    assert [x.k for x in heavy_keys(df, "k", 0.05).collect()] == ["a"]
+
+
+def test_heavy_keys_are_those_of_counts(spark):
+    r = random.Random(3)
+    for n in (1, 7, 140, 999):
+        rows = [(r.choice((1, 1, 1, 2, 2, 3, None, r.randrange(100))),) for _ in range(n)]
+        df = spark.createDataFrame(rows, "k int").repartition(3)
+        for share in (0.05, 0.2, 1.0):
+            want = {k for k in {x[0] for x in rows} if k is not None and rows.count((k,)) >= round(share * n, 9)}
+            assert {x.k for x in heavy_keys(df, "k", share, bins=4).collect()} == want, (n, share)
+
+
+def test_lagged_over_blocks(spark):
+    rows = [("hot" if i % 4 else "cold", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, o int").repartition(5)
+    for block in (7, 1000):
+        got = {(x.k, x.o): x.p.o if x.p else None for x in skew.lagged(df, ["k"], [F.col("o")], ["o"], "p", block).collect()}
+        want = {}
+        for k in ("hot", "cold"):
+            own = [o for a, o in rows if a == k]
+            want |= {(k, b): a for a, b in zip([None, *own], own)}
+        assert got == want
 
 
 def test_numbered_spreads_a_key_and_keeps_the_order(spark):
