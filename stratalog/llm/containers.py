@@ -233,5 +233,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: in
 
 
 def longer_than_one(packed: DataFrame) -> DataFrame:
-    """Ids of the documents that :func:`pack` divided."""
-    return packed.where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
+    """Ids of the documents that :func:`pack` put into more than one container, each as often as it was packed."""
+    copies = F.count_if(F.col("piece") == 0).cast("int")
+    parts = packed.where(F.col("n_pieces") > 1).groupBy("doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last"), copies.alias("copies"))
+    return parts.where(F.col("first") < F.col("last")).select(F.explode(F.array_repeat("doc_id", F.col("copies"))).alias("doc_id"))
