@@ -18,7 +18,8 @@ import html
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -42,7 +43,7 @@ BATCH_CHARS = 4_000_000
 CACHE_TOKENS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|<!--.*?-->", re.S)
 
 
 def words(text: str) -> list[str]:
@@ -138,6 +139,119 @@ class Walk:
         return key
 
 
+#: Share of a passage's words that may be edited where it stands whole, random walks, LSH tables and positions of a walk sampled for each.
+TOLERANCE = 0.15
+WALKS, TABLES, POSITIONS = 6, 48, 6
+#: Passages of lengths within this factor share one size of window; so many windows overlap at a word.
+SIZES, OVERLAPPING = 1.15, 8
+
+
+class Embedding:
+    """CGK walks over windows of one size, and the keys of many samples of their output."""
+
+    def __init__(self, vocabulary: int, size: int, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.size, steps = size, 3 * size
+        self.move = rng.integers(0, 2, (WALKS, steps, vocabulary + 1)).astype(np.int8)
+        self.uses: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for table in range(TABLES):
+            for step in rng.choice(steps, POSITIONS, replace=False):
+                self.uses[table % WALKS, int(step)].append((table, int(rng.integers(1, 2**63 - 1)) | 1))
+
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        """A row of TABLES numbers a window; a window shorter than the size ends in -1."""
+        n = len(windows)
+        flat = np.full((n, self.size + 1), -1, dtype=np.int32)
+        flat[:, : windows.shape[1]] = windows
+        flat = flat.ravel()
+        first = np.arange(n, dtype=np.int64) * (self.size + 1)
+        out = np.zeros((n, TABLES), dtype=np.int64)
+        for walk in range(WALKS):
+            at, end = first.copy(), first + self.size
+            for step in range(self.move.shape[1]):
+                symbol = flat[at]
+                for table, weight in self.uses.get((walk, step), ()):
+                    out[:, table] += (symbol + 2).astype(np.int64) * np.int64(weight)
+                at = np.minimum(at + self.move[walk, step][symbol], end)
+        return out
+
+
+def edits(passage: np.ndarray, text: np.ndarray) -> int:
+    """The fewest words to insert, delete or replace so that the passage stands in the text, beginning and ending anywhere."""
+    places = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    for k, w in enumerate(passage, 1):
+        new = np.empty_like(row)
+        new[0] = k
+        new[1:] = np.minimum(row[:-1] + (text != w), row[1:] + 1)
+        row = np.minimum.accumulate(new - places) + places
+    return int(row.min())
+
+
+class WholeProbe:
+    """Passages of a block by windows of their own size, to find them whole but edited."""
+
+    def __init__(self, items: list[tuple[int, str]], tolerance: float) -> None:
+        self.ids, self.tolerance = [i for i, _ in items], tolerance
+        texts = [words(p) for _, p in items]
+        vocabulary = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+        self.rows = [np.array([vocabulary[w] for w in t], dtype=np.int32) for t in texts]
+        self.numbers = Numbers(vocabulary)
+        self.classes: list[tuple[Embedding, list[tuple[np.ndarray, np.ndarray]], np.ndarray]] = []
+        order = sorted((k for k in range(len(items)) if len(self.rows[k]) >= STRETCH), key=lambda k: len(self.rows[k]))
+        while order:
+            least = len(self.rows[order[0]])
+            own = [k for k in order if len(self.rows[k]) <= SIZES * least]
+            order = order[len(own) :]
+            made = Embedding(len(vocabulary), least, len(self.classes))
+            keys = made.keys(np.stack([self.rows[k][:least] for k in own]))
+            tables = []
+            for t in range(TABLES):
+                by = np.argsort(keys[:, t], kind="stable")
+                tables.append((keys[by, t], np.array(own)[by]))
+            self.classes.append((made, tables, np.array(own)))
+
+    def found(self, texts: list[str]) -> list[tuple[int, int, int, float]]:
+        """(text number, item id, edits, share of the passage that is unedited)."""
+        row, lengths = self.numbers.rows(texts)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        local = np.arange(len(row)) - np.repeat(starts, lengths)
+        known = np.r_[0, np.cumsum(row > 0)]
+        best: dict[tuple[int, int], int] = {}
+        for made, tables, _ in self.classes:
+            size, step = made.size, max(1, made.size // OVERLAPPING)
+            room = np.repeat(lengths, lengths)
+            last = np.maximum(room - size, 0)
+            # windows at every step, and one at the end of each text
+            at = np.flatnonzero(((local % step == 0) & (local <= last)) | (local == last))
+            end = np.minimum(at + size, np.repeat(ends, lengths)[at])
+            at = at[known[end] - known[at] >= (1 - 2 * self.tolerance) * size]
+            for k in range(0, len(at), 100_000):
+                few = at[k : k + 100_000]
+                place = few[:, None] + np.arange(size)
+                inside = place < np.repeat(ends, lengths)[few][:, None]
+                windows = np.where(inside, row[np.minimum(place, len(row) - 1)], -1)
+                keys = made.keys(windows)
+                met = set()
+                for t, (sorted_keys, items) in enumerate(tables):
+                    lo, hi = np.searchsorted(sorted_keys, keys[:, t]), np.searchsorted(sorted_keys, keys[:, t], side="right")
+                    for w in np.flatnonzero(hi > lo):
+                        met.update((int(w), int(i)) for i in items[lo[w] : hi[w]])
+                for w, i in met:
+                    passage, text = self.rows[i], int(owner[few[w]])
+                    slack = step + int(self.tolerance * len(passage)) + 1
+                    a, b = max(int(starts[text]), int(few[w]) - slack), min(int(ends[text]), int(few[w]) + len(passage) + slack)
+                    region = row[a:b]
+                    if np.isin(passage, region).sum() < (1 - self.tolerance) * len(passage):
+                        continue  # each word that is missing takes an edit
+                    n = edits(passage, region)
+                    if n <= self.tolerance * len(passage) and n < best.get((text, i), len(passage)):
+                        best[text, i] = n
+        return [(t, self.ids[i], n, 1 - n / len(self.rows[i])) for (t, i), n in best.items()]
+
+
 class Probe:
     """The windows of a block of passages, to hold texts against."""
 
@@ -265,21 +379,15 @@ class Probe:
         return out
 
 
-_probes: dict[str, Probe] = {}
+_probes: dict[str, Probe | WholeProbe] = {}
 
 
-def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
-    """``doc_id``, ``item_id`` and ``share`` (of the passage's words) of every leak.
-
-    ``items`` are a query set that fits the driver (some MB). Null and empty
-    texts and passages hold and are no leak; passages of fewer than eight
-    words can't be found; rows of a repeated id give a row each; a null id is
-    kept; empty tables give no rows; other columns are ignored.
-    """
-    rows = [(r[0], r[1]) for r in items.where(F.col(passage).isNotNull()).select(item_id, passage).distinct().orderBy(item_id, passage).collect()]
+def _searched(documents: DataFrame, items: DataFrame, columns: str, make: Callable, search: Callable, doc_id: str, text: str, item_id: str, passage: str) -> DataFrame:
+    """The corpus read in place, each distinct text of a batch searched for a block of passages; a block is a pass of its own."""
+    rows = [(r[0], r[1]) for r in items.where(F.col(passage).isNotNull()).select(item_id, passage).distinct().orderBy(item_id, passage).collect()]  # the query set
     spark = documents.sparkSession
     kinds = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, share double"
+    names = ["doc_id", "item_id", *[c.split()[0] for c in columns.split(", ")]]
 
     def of(block: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))  # BLOCK_ITEMS passages at most
@@ -288,24 +396,46 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             name, own = shared.value
             if name not in _probes:  # a worker keeps it from task to task
                 _probes.clear()
-                _probes[name] = Probe(own)
+                _probes[name] = make(own)
             probe = _probes[name]
             for b in batches:
                 codes, values = pd.factorize(b["text"])
-                found: dict[int, list[tuple[int, float]]] = defaultdict(list)
+                found: dict[int, list[tuple]] = defaultdict(list)
                 start = size = 0
                 for k, v in enumerate(values):
                     size += len(v)
                     if size >= BATCH_CHARS or k + 1 == len(values):
-                        for t, i, share in probe.leaks(list(values[start : k + 1])):
-                            found[start + t].append((i, share))
+                        for t, *rest in search(probe, list(values[start : k + 1])):
+                            found[start + t].append(tuple(rest))
                         start, size = k + 1, 0
-                out = [(d, i, s) for d, c in zip(b["doc_id"], codes) for i, s in found.get(c, ())]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
+                out = [(d, *f) for d, c in zip(b["doc_id"], codes) for f in found.get(c, ())]
+                yield pd.DataFrame(out, columns=names)
 
-        return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(find, schema)
+        return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(find, f"doc_id {kinds[0]}, item_id {kinds[1]}, {columns}")
 
     out = of(rows[:BLOCK_ITEMS])
     for k in range(BLOCK_ITEMS, len(rows), BLOCK_ITEMS):
         out = out.unionByName(of(rows[k : k + BLOCK_ITEMS]))
     return out
+
+
+def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
+    """``doc_id``, ``item_id`` and ``share`` (of the passage's words) of every leak, whole or in pieces.
+
+    ``items`` are a query set that fits the driver (some MB). Null and empty
+    texts and passages hold and are no leak; passages of fewer than eight
+    words can't be found; rows of a repeated id give a row each; a null id is
+    kept; empty tables give no rows; other columns are ignored.
+    """
+    return _searched(documents, items, "share double", Probe, Probe.leaks, doc_id, text, item_id, passage)
+
+
+def edited(documents: DataFrame, items: DataFrame, tolerance: float = TOLERANCE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
+    """``doc_id``, ``item_id``, ``edits`` and ``share`` (unedited) of the passages that stand whole in a text but for edits to at most ``tolerance`` of their words.
+
+    Windows of the passage's size are embedded, candidates are those that
+    agree with the passage in all positions of one of the samples, and the
+    edit distance decides. Unlike the pieces of :func:`leaked` no stretch need
+    be untouched. Edge cases are those of :func:`leaked`.
+    """
+    return _searched(documents, items, "edits int, share double", partial(WholeProbe, tolerance=tolerance), WholeProbe.found, doc_id, text, item_id, passage)

@@ -83,16 +83,20 @@ def latest_scores(hits: DataFrame) -> DataFrame:
 
 
 def distinct_messages(messages: DataFrame, *columns: str) -> DataFrame:
-    """One row a (session_id, local_identity): that of the lowest row_id, with ``columns`` of that row."""
+    """One row a (session_id, local_identity): that of the lowest row_id, with ``columns`` of that row; without a local_identity each row is a message."""
+    identity = F.coalesce("local_identity", F.concat(F.lit("row:"), F.col("row_id").cast("string")))
     first = F.min(F.struct("row_id", *columns)).alias("first")
-    return messages.groupBy("session_id", "local_identity").agg(first).select("session_id", "local_identity", "first.*")
+    return messages.groupBy("session_id", identity.alias("local_identity")).agg(first).select("session_id", "local_identity", "first.*")
 
 
 def best_messages(messages: DataFrame, hits: DataFrame, n: int = 3, classes: Sequence[str] = ("dialogue", "evidence")) -> DataFrame:
-    """For every session and search class, its ``n`` best-scored messages.
+    """For every session and search class, its ``n`` best-scored messages, with their ``place`` from 1.
 
-    A message counts once, as its lowest row_id with that row's latest score.
+    A message counts once, as its lowest row_id with that row's latest score;
+    a row without a local_identity is a message of its own.
     """
     own = distinct_messages(messages, "ordinal", "search_class").where(F.col("search_class").isin(*classes))
     scored = own.join(latest_scores(hits), "row_id")
-    return top_n_per_group(scored.select("session_id", "search_class", "score", "ordinal", "row_id"), ["session_id", "search_class"], "score", ["ordinal", "row_id"], n)
+    best = top_n_per_group(scored.select("session_id", "search_class", "score", "ordinal", "row_id"), ["session_id", "search_class"], "score", ["ordinal", "row_id"], n)
+    order = Window.partitionBy("session_id", "search_class").orderBy(F.desc("score"), F.col("ordinal").asc_nulls_last(), "row_id")
+    return best.withColumn("place", F.row_number().over(order).cast("bigint"))  # at most n rows a group

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stratalog.llm import leaks
-from stratalog.llm.leaks import SHARE, STRETCH, Numbers, Probe, leaked, words
+from stratalog.llm.leaks import SHARE, STRETCH, Numbers, Probe, edited, edits, leaked, words
 
 
 def brute(text, item):
@@ -76,3 +76,48 @@ def test_a_changed_word_keeps_windows_close():
 def test_numbers_of_tokens():
     row, lengths = Numbers({"a": 1, "b": 2}).rows(["a, b-a -- c", "", "(B)"])
     assert row.tolist() == [1, 2, 1, 0, 2] and lengths.tolist() == [4, 0, 1]
+
+
+def test_edited_passages_are_found(spark):
+    """Passages with one word in ten replaced, inserted or left out, anywhere; no stretch needs to be whole."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(30, 70)))) for i in range(60)]
+    rows, truth = [], set()
+    for i, p in items:
+        w = p.split()
+        for _ in range(len(w) // 10):
+            at, kind = rng.randrange(len(w)), rng.random()
+            if kind < 0.4:
+                w[at] = rng.choice(words)
+            elif kind < 0.7:
+                w.insert(at, rng.choice(words))
+            else:
+                del w[at]
+        before, after = (" ".join(rng.choice(words) for _ in range(rng.randrange(200))) for _ in range(2))
+        rows.append((i, f"{before} {' '.join(w).upper()}, {after}"))
+        truth.add((i, i))
+    rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(300))) for k in range(40)] + [(2000, None), (2001, ""), (2002, "one two")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("item_id", F.lit(1))
+    queries = spark.createDataFrame(items + [(900, None), (901, ""), (902, "three words only")], "item_id bigint, passage string")
+    got = {(r.doc_id, r.item_id): r for r in edited(documents, queries).collect()}
+    assert len(truth & got.keys()) >= 0.9 * len(truth) and got.keys() <= truth
+    assert all(r.edits <= 0.15 * len(dict(items)[r.item_id].split()) for r in got.values())
+    assert edited(documents.where("false"), queries).collect() == [] and edited(documents, queries.where("false")).collect() == []
+
+
+def test_edit_distance_inside_a_text():
+    r = random.Random(1)
+    for _ in range(40):
+        a, b = ([r.randrange(5) for _ in range(r.randrange(1, n))] for n in (7, 12))
+        best = min(_distance(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
+        assert edits(np.array(a), np.array(b)) == best
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]

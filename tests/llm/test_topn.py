@@ -36,7 +36,9 @@ def test_repeated_rows_clashing_columns_and_nothing(spark):
 def test_the_latest_score_of_the_first_row_counts(spark):
     m = spark.createDataFrame([(1, "s", 0, "i", "dialogue"), (2, "s", 0, "i", "dialogue"), (3, "s", 1, "j", "dialogue"), (4, "s", 2, "k", "hidden")], "row_id bigint, session_id string, ordinal int, local_identity string, search_class string")
     h = spark.createDataFrame([(1, 5, 1.0), (1, 9, None), (2, 5, 9.0), (3, 1, 2.0), (3, 2, 1.0), (4, 1, 9.0)], "row_id bigint, scored_at bigint, score double")
-    assert [(x.row_id, x.score) for x in best_messages(m, h).collect()] == [(3, 1.0)]
+    assert [(x.row_id, x.score, x.place) for x in best_messages(m, h).collect()] == [(3, 1.0, 1)]
+    loose = m.withColumn("local_identity", F.lit(None).cast("string")).where("row_id <> 4")  # each row a message of its own
+    assert sorted((x.row_id, x.place) for x in best_messages(loose, h).collect()) == [(2, 1), (3, 2)]
     assert best_messages(m, h.where("false")).collect() == []
     wide = m.withColumns({c: F.lit("x") for c in ("score", "need", "k", "text")})
     assert best_messages(wide, h).count() == 1
