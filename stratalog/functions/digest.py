@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from typing import Any
 
@@ -35,3 +36,19 @@ def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def canonical_json(value: Any) -> str:
     """JSON with sorted keys and no spaces; NaN and infinity are errors."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def line_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: ``rows`` and ``digest``, the sum of the first 60 bits of every line's SHA-256 as text.
+
+    A line is the columns as text, joined by a bar, null as nothing. The sum
+    merges in the map tasks and doesn't depend on the order of the rows.
+    """
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def request_id() -> str:
+    """A random request id of 32 hexadecimal digits."""
+    return uuid.uuid4().hex

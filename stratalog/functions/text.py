@@ -74,6 +74,11 @@ def iso_epoch(text: Column) -> Column:
     return F.when(whole, F.unix_micros(F.try_to_timestamp(text)) / 1e6)
 
 
+def utc_day(text: Column) -> Column:
+    """The UTC day of an ISO-8601 time with any offset; null where it isn't one."""
+    return F.to_date(F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone()))
+
+
 def finite(value: Column) -> Column:
     """Whether a number is neither null, NaN nor infinite."""
     return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))

@@ -71,6 +71,13 @@ def split_pending(inbox: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
     return inbox.select(key).distinct().join(done, key, "left").select(key, F.when(F.col("_done").isNull(), "pending").otherwise("accepted").alias("state"))
 
 
+def page_lists(pages: DataFrame) -> DataFrame:
+    """Per artifact: its pages in order of capture as text, and those that say another follows (null if none does)."""
+    in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("capture_sequence", "page_id"))), lambda p: p["page_id"].cast("string")), ",")
+    more = F.sort_array(F.collect_list(F.when(F.col("has_next_page"), F.col("page_id"))))
+    return pages.groupBy("artifact_id").agg(in_order.alias("pages"), F.when(F.count_if("has_next_page") > 0, more).alias("continued"))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """A row a table with its number of rows."""
     return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n")) for name, df in tables.items()])

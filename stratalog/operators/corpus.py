@@ -142,3 +142,38 @@ def first_of(groups: list[DataFrame], key: list[str], limit: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*key).orderBy("_branch", "position"))
     out = every.withColumn("_k", place).where("_k = 1").drop("_k").orderBy("_branch", "position", *key).limit(limit)
     return out.withColumnRenamed("_branch", "branch")
+
+
+def aliases(named: DataFrame, kind: str, canonical: str, alias: str) -> DataFrame:
+    """A node a (kind, canonical) with its sorted distinct ``aliases``."""
+    return named.groupBy(kind, canonical).agg(F.sort_array(F.collect_set(alias)).alias("aliases"))
+
+
+def import_counters(paths: DataFrame, messages: DataFrame) -> DataFrame:
+    """Per artifact: its messages, and those by user, assistant and others, each message once."""
+    own = paths.select("artifact_id", "row_id").distinct().join(messages.select("row_id", "role"), "row_id")
+    role = F.lower(F.trim("role"))
+    return own.groupBy("artifact_id").agg(F.count("*").alias("messages"), F.count_if(role == "user").alias("users"), F.count_if(role == "assistant").alias("assistants"), F.count_if(~F.coalesce(role.isin("user", "assistant"), F.lit(False))).alias("others"))
+
+
+def session_order(ranked_rows: DataFrame, rank: str = "candidate_rank") -> DataFrame:
+    """The sessions of a bounded ranked list by their first row: session_id, first_rank, session_place."""
+    per = ranked_rows.groupBy("session_id").agg(F.min(rank).alias("first_rank"))
+    return per.withColumn("session_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_rank")).cast("bigint"))
+
+
+def with_group_size(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Rows with how many rows their group has."""
+    return rows.withColumn(name, F.count("*").over(Window.partitionBy(by)))
+
+
+# Shapes of identifiers.
+SHAPES = {"hex32": r"\A[0-9a-f]{32}\z", "hex40": r"\A[0-9a-f]{40}\z", "hex64": r"\A[0-9a-f]{64}\z", "hex": r"\A[0-9a-f]+\z", "slug": r"\A[a-z0-9]+(-[a-z0-9]+)*\z", "id": r"\A[A-Za-z0-9._:-]{1,128}\z"}
+
+
+def identity_shape(value: Column) -> Column:
+    """The first shape an identifier has, ``none`` for none, null for null."""
+    out = F.when(value.isNull(), F.lit(None).cast("string"))
+    for name, pattern in SHAPES.items():
+        out = out.when(value.rlike(pattern), F.lit(name))
+    return out.otherwise("none")

@@ -116,6 +116,14 @@ def compare(baseline: DataFrame, other: DataFrame, case: str = "case_id", rank:
     return a.join(b, case, "full").agg(F.count_if(both & (two < one)).alias("improved"), F.count_if(both & (two == one)).alias("same"), F.count_if(both & (two > one)).alias("worse"), F.count_if(~both).alias("mismatch"))
 
 
+def changes_by(ranks: DataFrame, by: str, before: str, after: str) -> DataFrame:
+    """Cases, improved and worse ones by group, with a row ``all`` of the total; null is the worst rank."""
+    far = F.lit(2**62)
+    one, two = F.coalesce(before, far), F.coalesce(after, far)
+    out = ranks.rollup(by).agg(F.count("*").alias("cases"), F.count_if(two < one).alias("improved"), F.count_if(two > one).alias("worse"), F.grouping(by).alias("_all"))
+    return out.select(F.when(F.col("_all") == 1, "all").otherwise(F.col(by)).alias(by), "cases", "improved", "worse")
+
+
 def choose_challenger(points: DataFrame, current_top: float) -> DataFrame:
     """The point that loses no top hits and has the best R@10, then the best recall, then the least cap."""
     return points.where(F.col("r_at_10") >= current_top).orderBy(F.desc("r_at_10"), F.desc("recall"), "cap").limit(1)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions.digest import canonical_json
 from stratalog.operators.audit import conflicting, duplicates
+from stratalog.shared import children, write_text, written
+from stratalog.sources.strict_json import loads
 
 OUTCOMES = ("improved", "same", "worse", "no_signal", "blocked")
 
@@ -19,17 +22,45 @@ def feedback_ref(record: dict[str, Any]) -> str:
     return hashlib.sha256(("feedback-v1\n" + canonical_json(record)).encode()).hexdigest()[:32]
 
 
-def append_new(spark_rows: DataFrame, store: str, key: str = "feedback_ref") -> DataFrame:
-    """Adds the records that the store lacks; each key with RECORDED or UNCHANGED. The store is a parquet path."""
-    spark = spark_rows.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    own = spark_rows.dropDuplicates([key])
-    known = spark.read.parquet(store).select(key).withColumn("_k", F.lit(1)) if exists else own.select(key).where(F.lit(False)).withColumn("_k", F.lit(1))
-    state = own.select(key).join(known, key, "left").select(key, F.when(F.col("_k").isNull(), "RECORDED").otherwise("UNCHANGED").alias("status"))
-    answer = spark.createDataFrame(state.toArrow().to_pandas(), state.schema) if state.limit(1).count() else state
-    own.join(known, key, "left_anti").write.mode("append").parquet(store)
-    return answer
+def append_new(rows: DataFrame, store: str, key: str = "feedback_ref") -> DataFrame:
+    """Adds the records that the store lacks; each key with RECORDED or UNCHANGED. The store is a folder of parquet parts.
+
+    A batch's records and their status are written before its name is
+    published, so readers of :func:`stored` see it wholly or not at all;
+    nothing is collected.
+    """
+    spark = rows.sparkSession
+    name = f"{len(_names(spark, store)):09d}"
+    own, known = rows.dropDuplicates([key]), stored(spark, store)
+    seen = own.select(key).where(F.lit(False)) if known is None else known.select(key)
+    state = own.join(seen.withColumn("_k", F.lit(1)), key, "left").withColumn("status", F.when(F.col("_k").isNull(), "RECORDED").otherwise("UNCHANGED")).drop("_k")
+    state = written(state, "feedback")
+    state.where("status = 'RECORDED'").drop("status").write.mode("overwrite").parquet(f"{store}/part={name}")
+    if not write_text(spark, f"{store}/_names/{name}.json", json.dumps({"key": key})):
+        raise RuntimeError("another writer came first; try again")
+    return state.select(key, "status")
+
+
+def _names(spark: SparkSession, store: str) -> list[str]:
+    return [n.removesuffix(".json") for n in children(spark, f"{store}/_names") if n.endswith(".json") and not n.startswith(".")]
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """The records of a store of :func:`append_new`, None if it has none yet."""
+    names = _names(spark, store)
+    return spark.read.parquet(*[f"{store}/part={n}" for n in names]) if names else None
+
+
+def read_feedback(spark: SparkSession, store: str, ref: str) -> dict[str, Any] | None:
+    """The record of a reference, checked against it once more; None if the store hasn't it. The store has ``feedback_ref`` and ``payload``."""
+    known = stored(spark, store)
+    row = None if known is None else known.where(F.col("feedback_ref") == ref).select("payload").first()
+    if row is None:
+        return None
+    body = loads(row["payload"])
+    if feedback_ref(body) != ref:
+        raise ValueError("the record isn't the one its reference names")
+    return body
 
 
 def patterns(episodes: DataFrame) -> DataFrame:
@@ -67,7 +98,7 @@ def matching_concepts(concepts: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def decision(concepts: int, direct: int, recall: int, alias: int) -> str:
-    """What a reconciled search answers: several concepts are ambiguous; direct hits come before aliases, aliases before recall."""
+    """What a reconciled search answers by its counts: several concepts are ambiguous; direct hits come before aliases, aliases before recall. The rows are :func:`stratalog.operators.reconcile.reconciled_search`'s."""
     if concepts > 1:
         return "AMBIGUOUS"
     if direct:

@@ -244,11 +244,11 @@ FIND_WORD = "найди"
 HISTORY_MARKERS = ("разговор", "истори", "чат", "предыдущ", "раньше", "старый", "старую", "session", "сессион")
 
 
-def looks_back(text: Column) -> Column:
+def looks_back(text: Column, direct: Sequence[str] = DIRECT_MARKERS, find: str = FIND_WORD, history: Sequence[str] = HISTORY_MARKERS) -> Column:
     """Whether a text asks for history: a direct marker, or the find word together with a history marker."""
     low = F.lower(text)
     any_of = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    return any_of(DIRECT_MARKERS) | (low.contains(FIND_WORD) & any_of(HISTORY_MARKERS))
+    return any_of(direct) | (low.contains(find) & any_of(history))
 
 
 def term_statistics(messages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators.skew import numbered
 from stratalog.shared import written
 
 
@@ -61,22 +62,38 @@ def default_children(nodes: DataFrame, tree: str = "tree_id") -> DataFrame:
 
 
 def leaf_paths(nodes: DataFrame, tree: str = "tree_id") -> DataFrame:
-    """``leaf_id``, ``node_id`` and ``place`` (0 at the root): a row a node of each root-to-leaf path, for trees of bounded branching.
+    """``leaf_id``, ``node_id`` and ``place`` (0 at the root): a row a node of each root-to-leaf path.
 
-    Ancestors are collected by doubling as well: each round joins the known
-    part of a path to the path of its end.
+    The paths double: those known so far are repeated from the ancestor that
+    many steps above, whose pointers double as well, so a path of any length
+    takes its logarithm in rounds.
     """
-    deep = written(depths(nodes, tree), "deep")
-    at = deep.where("depth is not null").select(tree, "node_id", "depth")
-    up = nodes.select(tree, F.col("node_id").alias("_n"), F.col("parent_id").alias("_p"))
-    level = leaves(nodes, tree).join(at, [tree, "node_id"]).select(tree, F.col("node_id").alias("leaf_id"), "node_id", F.col("depth").alias("place"))
-    out = level
-    while not level.isEmpty():
-        level = written(level.join(up.withColumnRenamed(tree, "_t"), (F.col(tree) == F.col("_t")) & (F.col("node_id") == F.col("_n"))).where(F.col("_p").isNotNull()).select(tree, "leaf_id", F.col("_p").alias("node_id"), (F.col("place") - 1).alias("place")), "level")
-        out = out.unionByName(level)
+    at = written(depths(nodes, tree).where("depth is not null"), "deep")
+    own = nodes.select(tree, "node_id", F.col("parent_id").alias("up")).join(at.select(tree, "node_id", "depth"), [tree, "node_id"])
+    jump = written(own.select(F.col(tree).alias("_t"), F.col("node_id").alias("_n"), "up"), "jump")
+    out = written(leaves(nodes, tree).join(at, [tree, "node_id"]).select(tree, F.col("node_id").alias("leaf_id"), "node_id", F.col("depth").alias("place")), "paths")
+    most, steps = at.agg(F.max("depth")).first()[0] or 0, 1
+    while steps <= most:
+        above = out.join(jump, (F.col(tree) == F.col("_t")) & (F.col("node_id") == F.col("_n"))).where(F.col("up").isNotNull()).select(tree, "leaf_id", F.col("up").alias("node_id"), (F.col("place") - steps).alias("place"))
+        out = written(out.unionByName(above), "paths")
+        other = jump.select(F.col("_t").alias("_t2"), F.col("_n").alias("_n2"), F.col("up").alias("_up2"))
+        jump = written(jump.join(other, (F.col("_t") == F.col("_t2")) & (F.col("up") == F.col("_n2")), "left").select("_t", "_n", F.col("_up2").alias("up")), "jump")
+        steps *= 2
     return out
 
 
+def variants(nodes: DataFrame, tree: str = "tree_id") -> DataFrame:
+    """The sequences of nodes that a tree's leaves stand for: branch_id, leaf_id, place, node_id; all leaves of a tree have sequences of their own."""
+    paths = leaf_paths(nodes, tree)
+    return paths.join(branch_ids(paths, nodes, tree), [tree, "leaf_id"]).select(tree, "branch_id", "leaf_id", "place", "node_id")
+
+
+def topological(nodes: DataFrame, tree: str = "tree_id") -> DataFrame:
+    """``place`` of each node in an order in which parents come before children: by depth, then by id. Nodes that reach no root have none."""
+    own = depths(nodes, tree).where("depth is not null")
+    return numbered(own, [tree], [F.col("depth"), F.col("node_id")], "place").select(tree, "node_id", "depth", "place")
+
+
 def branch_ids(paths: DataFrame, nodes: DataFrame, tree: str = "tree_id") -> DataFrame:
     """A branch id a leaf: the tree's own id on the default path, else with a digest of the choices that aren't default."""
     forks = default_children(nodes, tree).where(F.col("children") > 1).select(tree, "parent_id", F.col("child_id").alias("usual"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalog.functions.digest import set_digest
-from stratalog.functions.text import WORD, folded_tokens, iso_epoch, tokens
+from stratalog.functions.text import WORD, folded_tokens, iso_epoch, tokens, utc_day
 from stratalog.operators import allocate, audit, browse, corpus, evaluate, feedback, trees
 from stratalog.operators import search as s
 from stratalog.operators.index import index_of
@@ -178,9 +178,9 @@ def provider_overlap(spark, folder):
     return audit.overlap_by(table(spark, folder, "artifact_routes"), table(spark, folder, "artifacts"), "artifact_id", "source_adapter")
 
 
-@query("set_digest_by_day", "SELECT substr(accepted_at, 1, 10) AS day, count(DISTINCT ledger_sha256) AS keys, sha256(string_agg(DISTINCT ledger_sha256 || chr(10), '' ORDER BY ledger_sha256 || chr(10))) AS digest FROM artifacts GROUP BY day")
+@query("set_digest_by_day", "SELECT strftime(timezone('UTC', accepted_at::TIMESTAMPTZ), '%Y-%m-%d') AS day, count(DISTINCT ledger_sha256) AS keys, sha256(string_agg(DISTINCT ledger_sha256 || chr(10), '' ORDER BY ledger_sha256 || chr(10))) AS digest FROM artifacts GROUP BY day")
 def set_digest_by_day(spark, folder):
-    return audit.digests_by(table(spark, folder, "artifacts").withColumn("day", F.substring("accepted_at", 1, 10)), "ledger_sha256", "day")
+    return audit.digests_by(table(spark, folder, "artifacts").withColumn("day", utc_day(F.col("accepted_at")).cast("string")), "ledger_sha256", "day")
 
 
 @query("ledger_membership_gap", "SELECT artifact_id, 'left' AS side FROM artifacts WHERE artifact_id NOT IN (SELECT artifact_id FROM payload_pages) UNION ALL SELECT DISTINCT artifact_id, 'right' AS side FROM payload_pages WHERE artifact_id NOT IN (SELECT artifact_id FROM artifacts)")
@@ -203,6 +203,12 @@ def misplaced_pages(spark, folder):
     return audit.misplaced_pages(table(spark, folder, "payload_pages"), table(spark, folder, "artifact_routes"))
 
 
+@query("pages_off_their_conversation", "SELECT DISTINCT p.page_id, p.artifact_id FROM payload_pages p JOIN artifact_routes r USING (artifact_id) WHERE p.session_id <> r.accepted_session_id")
+def pages_off_their_conversation(spark, folder):
+    """Pages of branches and of artifacts that found none: their session isn't the conversation's own."""
+    return audit.misplaced_pages(table(spark, folder, "payload_pages"), table(spark, folder, "artifact_routes").withColumn("projected_session_id", F.col("accepted_session_id")))
+
+
 @query("duplicate_identity", "SELECT session_id, local_identity, count(*) AS copies FROM messages GROUP BY ALL HAVING count(*) > 1")
 def duplicate_identity(spark, folder):
     return audit.duplicates(table(spark, folder, "messages"), ["session_id", "local_identity"])
@@ -225,9 +231,9 @@ def replica_diff(spark, folder):
     return audit.symmetric_difference(table(spark, folder, "sessions").select("session_id", "coverage_state"), right)
 
 
-@query("replica_conflicts", "SELECT DISTINCT s.session_id FROM sessions s JOIN artifacts a USING (session_id) WHERE s.title IS DISTINCT FROM a.observed_title")
+@query("replica_conflicts", "SELECT DISTINCT s.session_id FROM sessions s JOIN artifacts a USING (session_id) WHERE s.coverage_state IS DISTINCT FROM a.coverage_state")
 def replica_conflicts(spark, folder):
-    return audit.conflicting(table(spark, folder, "sessions").select("session_id", "title"), table(spark, folder, "artifacts").select("session_id", F.col("observed_title").alias("title")), "session_id", "title")
+    return audit.conflicting(table(spark, folder, "sessions"), table(spark, folder, "artifacts"), "session_id", "coverage_state")
 
 
 @query("projection_equality", f"""WITH v AS (SELECT s.session_id, min(create_time) AS t0, max(create_time) AS t1 FROM sessions s LEFT JOIN messages m ON m.session_id = s.session_id GROUP BY s.session_id)

@@ -35,10 +35,11 @@ def loads(text: str | bytes) -> Any:
         raise InvalidJson(str(e)) from e
 
 
-def read_jsonl(spark: SparkSession, path: str, key: str, fields: tuple[str, ...] | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, key: str, fields: tuple[str, ...] | None = None, banned: tuple[str, ...] = ()) -> DataFrame:
     """Lines of strict JSON objects: ``key``, ``body`` (the line) and ``error`` (null for a sound line).
 
-    With ``fields`` any other field is an error; blank lines are skipped. A key
+    With ``fields`` any other field is an error, with ``banned`` these at any
+    depth; blank lines are skipped. A key
     that occurs twice marks all its lines.
     """
 
@@ -52,6 +53,7 @@ def read_jsonl(spark: SparkSession, path: str, key: str, fields: tuple[str, ...]
                         raise InvalidJson(f"no object with a text field {key}")
                     if fields is not None and set(body) - set(fields):
                         raise InvalidJson(f"unknown fields {sorted(set(body) - set(fields))}")
+                    forbid(body, frozenset(banned))
                     out.append((body[key], line, None))
                 except InvalidJson as e:
                     out.append((None, line, str(e)))
@@ -61,3 +63,16 @@ def read_jsonl(spark: SparkSession, path: str, key: str, fields: tuple[str, ...]
     twice = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n").withColumn("_twice", F.lit(True))
     out = rows.join(twice, "key", "left")
     return out.select(F.col("key").alias(key), "body", F.coalesce("error", F.when(F.col("_twice"), "the key occurs twice")).alias("error"))
+
+
+def forbid(value: Any, keys: frozenset[str]) -> None:
+    """Fails if an object at any depth has one of the keys (as private text under whatever it is nested)."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if keys & v.keys():
+                raise InvalidJson(f"keys that may not be here: {sorted(keys & v.keys())}")
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v

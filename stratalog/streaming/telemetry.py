@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,38 @@ def valid_event(event_type: Column, fields: dict[str, Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def sanitized(events: DataFrame, rules: dict[str, dict[str, tuple[bool, Callable[[Column], Column]]]], event: str = "event_type", props: str = "props") -> DataFrame:
+    """``events`` with ``fault``: null for an event that may be kept, else why it goes to the quarantine.
+
+    ``rules`` names the known events and for each its fields: whether it must
+    be there, and a test of its value as text. An event of another type, with
+    a field that isn't named, without one it must have, or with a value that
+    fails its test, isn't kept. ``props`` is a JSON object; works on streams.
+    """
+    given = F.from_json(F.col(props), "map<string,string>")
+    out = F.when(~F.coalesce(F.col(event).isin(*rules), F.lit(False)), "unknown event").when(given.isNull(), "no object")
+    for name, fields in rules.items():
+        here = F.col(event) == name
+        known = F.array(*[F.lit(f) for f in fields]) if fields else F.array().cast("array<string>")
+        out = out.when(here & (F.size(F.array_except(F.map_keys(given), known)) > 0), "unknown field")
+        for f, (must, test) in fields.items():
+            value = F.try_element_at(given, F.lit(f))
+            if must:
+                out = out.when(here & ~F.array_contains(F.map_keys(given), f), f"no {f}")
+            out = out.when(here & F.array_contains(F.map_keys(given), f) & ~F.coalesce(test(value), F.lit(False)), f"bad {f}")
+    return events.withColumn("fault", out)
+
+
+def counted(most: int = 10_000) -> Callable[[Column], Column]:
+    """A test for a whole number from 0 to ``most``."""
+    return lambda v: v.rlike("^[0-9]{1,9}$") & (v.cast("int") <= most)
+
+
+def status_class(status: Column) -> Column:
+    """2xx, 4xx or 5xx of an HTTP status, other for other numbers, unknown for none."""
+    return F.when(status.between(200, 299), "2xx").when(status.between(400, 499), "4xx").when(status.between(500, 599), "5xx").when(status.isNotNull(), "other").otherwise("unknown")
+
+
 def safe_label(label: Column, known: tuple[str, ...]) -> Column:
     """A label, or ``other`` for one that isn't known."""
     return F.when(label.isin(*known), label).otherwise(F.lit(OTHER))

@@ -89,8 +89,31 @@ def test_fusion_metrics_and_selection(spark):
     assert tuple(evaluate.compare(ranks, better).first()) == (1, 1, 1, 0)
     texts = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["c"])], "rank bigint, words array<string>")
     assert [r["rank"] for r in evaluate.mmr_select(texts, 3, 0.5).orderBy("mmr_rank").collect()] == [1, 3, 2]
-    density = spark.createDataFrame([(["a", "x", "b"],), (["a"],), (None,)], "w array<string>").select(evaluate.cover_density(F.col("w"), ["a", "b"]).alias("d"))
-    assert [r.d for r in density.collect()] == [pytest.approx(1 / 3), 0.0, None]
+    places = spark.createDataFrame([([0, 7], [2, 8]), ([0], []), ([1, 2], [5])], "a array<int>, b array<int>")
+    density = [r.d for r in places.select(evaluate.cover_density([F.col("a"), F.col("b")]).alias("d")).collect()]
+    assert density == [pytest.approx(0.1 / 2 + 0.1 / 5 + 0.1), 0.0, pytest.approx(0.1 / 3)]  # covers 0-2, 2-7, 7-8; none; 2-5
+    assert [r.d for r in places.select(evaluate.cover_density([F.col("a"), F.col("b")], every=False).alias("d")).collect()] == pytest.approx([0.4, 0.1, 0.3])
+    with pytest.raises(Exception, match="twice"):
+        evaluate.fuse_rrf(one.union(one), two, ["id"]).collect()
+    values = spark.createDataFrame([("x", float(v)) for v in range(40)] + [("y", 3.0), ("y", None)], "k string, v double")
+    got = {r.k: r for r in evaluate.percentiles(values, "v", ["k"]).collect()}
+    assert (got["x"].p95_at, got["x"].n, got["y"].p95_at, got["y"].n) == (38.0, 40, 3.0, 1)
+
+
+def test_a_chain_of_fifty_thousand(spark):
+    nodes = spark.range(50_000).select(F.lit("t").alias("tree_id"), F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    row = trees.depths(nodes).agg(F.max("depth").alias("d"), F.count_if(F.col("root_id") == 0).alias("n")).first()
+    assert (row.d, row.n) == (49_999, 50_000)
+
+
+def test_variants_of_a_tree(spark):
+    rows = [("t", "r", None, 0.0), ("t", "a", "r", 1.0), ("t", "b", "r", 2.0), ("t", "c", "a", 3.0), ("t", "x", "y", 1.0), ("t", "y", "x", 1.0)]
+    nodes = spark.createDataFrame(rows, "tree_id string, node_id string, parent_id string, create_time double")
+    got = {}
+    for r in trees.variants(nodes).collect():
+        got.setdefault((r.leaf_id, r.branch_id.startswith("t~branch-")), {})[r.place] = r.node_id
+    assert got == {("c", False): {0: "r", 1: "a", 2: "c"}, ("b", True): {0: "r", 1: "b"}}  # a cycle has no path
+    assert {r.node_id: r.place for r in trees.topological(nodes).collect()} == {"r": 0, "a": 1, "b": 2, "c": 3}
 
 
 def test_planner_keeps_glue_only_if_there_is_nothing_else(spark):

@@ -8,15 +8,17 @@ import pytest
 
 import __spark_entry__
 from stratalog import shared
-from stratalog.plans import core_queries, corpus_queries, search_queries
+from stratalog.plans import core_queries, corpus_queries, search_queries, service_queries
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
-PARTS = (core_queries, search_queries, corpus_queries)
+PARTS = (core_queries, search_queries, corpus_queries, service_queries)
 NAMES = [n for p in PARTS for n in p.QUERIES]
 
 
 def plain(v):
+    if isinstance(v, list):
+        return tuple(map(plain, v))
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)
     return v
