@@ -63,6 +63,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def guarded(text: Column, most: int, halvings: int = 12) -> Column:
+    """The text, or as much of its beginning, halved as often as needed, as has distinct words of at most ``most`` bytes together; '' if ``halvings`` don't do."""
+    out = None
+    for k in range(halvings + 1):
+        part = F.left(text, F.floor(F.length(text) / 2**k).cast("int")) if k else text
+        size = F.aggregate(F.array_distinct(tokens(part)), F.lit(0), lambda n, w: n + F.octet_length(w))
+        out = F.when(size <= most, part) if out is None else out.when(size <= most, part)
+    return out.otherwise("")
+
+
 def slug(text: Column) -> Column:
     """A name that is safe as a file name."""
     return F.trim(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "-"), F.lit("-"))

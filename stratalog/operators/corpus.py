@@ -177,3 +177,17 @@ def identity_shape(value: Column) -> Column:
     for name, pattern in SHAPES.items():
         out = out.when(value.rlike(pattern), F.lit(name))
     return out.otherwise("none")
+
+
+def promoted(messages: DataFrame) -> DataFrame:
+    """Rows of one message with one content (message_id, digest) in several artifacts as one: a dialogue row with a text stands for them, else evidence, else what there is; then the lowest row_id. ``linked`` says how many there were."""
+    rank = F.when((F.col("search_class") == "dialogue") & (F.col("text") != ""), 0).when(F.col("search_class") == "evidence", 1).otherwise(2)
+    own = messages.where(F.col("message_id").isNotNull())
+    best = F.min(F.struct(rank.alias("rank"), "row_id", "session_id", "search_class")).alias("b")
+    return own.groupBy("message_id", "canonical_message_sha256").agg(best, F.count("*").alias("linked")).select("message_id", "canonical_message_sha256", "b.row_id", "b.session_id", "b.search_class", "linked")
+
+
+def closure(routes: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``artifact_id`` of all artifacts that bear on some sessions: those routed to them and those of the same accepted conversations, whose branches decide together."""
+    met = routes.join(sessions.select(F.col("session_id").alias("projected_session_id")).distinct(), "projected_session_id", "left_semi")
+    return routes.join(met.select("accepted_session_id").distinct(), "accepted_session_id", "left_semi").select("artifact_id").distinct()

@@ -14,6 +14,7 @@ from stratalog.shared import written
 BROADCAST_ROWS = 200_000
 #: A key with at least this share of all rows is hot; there can be no more than 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 200
+#: Partitions a hot key's rows are spread over, at least; more where the cluster has more cores.
 SALTS = 32
 
 
@@ -42,15 +43,16 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], hot: list[
 
     ``small`` is broadcast only while ``rows`` is within BROADCAST_ROWS.
     Beyond that both sides are shuffled, and the rows of hot keys are spread
-    over SALTS partitions to each of which their few rows of ``small`` go.
+    over so many partitions (SALTS, or the cluster's cores) to each of which their few rows of ``small`` go.
     Keys compare null-safely; both key columns of ``small`` are dropped.
     """
     if rows <= BROADCAST_ROWS:
         small = F.broadcast(small.withColumnsRenamed({k: f"_{k}" for k in keys}))
         on = reduce(lambda a, b: a & b, (big[k].eqNullSafe(small[f"_{k}"]) for k in keys))
         return big.join(small, on, how).drop(*[f"_{k}" for k in keys])
-    salted = big.withColumn("_salt", F.when(is_hot(big, keys, hot), F.monotonically_increasing_id() % SALTS).otherwise(F.lit(0)).cast("int"))
-    copies = F.when(is_hot(small, keys, hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = max(SALTS, big.sparkSession.sparkContext.defaultParallelism)
+    salted = big.withColumn("_salt", F.when(is_hot(big, keys, hot), F.monotonically_increasing_id() % salts).otherwise(F.lit(0)).cast("int"))
+    copies = F.when(is_hot(small, keys, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     small = small.withColumn("_salt_s", F.explode(copies)).withColumnsRenamed({k: f"_{k}" for k in keys})
     on = reduce(lambda a, b: a & b, (salted[k].eqNullSafe(small[f"_{k}"]) for k in keys)) & (salted["_salt"] == small["_salt_s"])
     return salted.join(small, on, how).drop("_salt", "_salt_s", *[f"_{k}" for k in keys])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalog.functions.digest import line_digest
-from stratalog.functions.text import finite, slug
+from stratalog.functions.text import finite, guarded, slug, tokens
 from stratalog.operators import audit, corpus, evaluate, federate, feedback, ingest, trees
 from stratalog.operators import search as s
 from stratalog.operators.generations import Store, generation_id
@@ -15,6 +15,7 @@ from stratalog.operators.skew import numbered
 from stratalog.plans.corpus_queries import COVERS, PATHS
 from stratalog.plans.search_queries import BY, HOMES, RECALL, SCOPED, STRICT, TIME_TO, candidates_sql, catalog, homes, index, scored_sql, table
 from stratalog.shared import shared_path
+from stratalog.sources.staging import stage, staged
 from stratalog.streaming import telemetry
 
 QUERIES: dict = {}
@@ -39,8 +40,8 @@ CASES = {"direct": ("short note", False), "alias": ("zzqqx ledger", False), "rec
 
 def _flat(name: str, text: str, mode: str, cap: int | None = None) -> str:
     """A search's rows, each message once."""
-    return f"""{name} AS (WITH {candidates_sql(text, mode, SCOPED, 60, cap)} SELECT row_id, key, row_number() OVER (ORDER BY candidate_rank) AS position FROM (SELECT *, (session_id, coalesce(message_id, local_identity), ordinal) AS key FROM candidates WHERE candidate_rank <= 20)
-        QUALIFY row_number() OVER (PARTITION BY key ORDER BY candidate_rank) = 1)"""
+    return f"""{name} AS (WITH {candidates_sql(text, mode, SCOPED, 60, cap)} SELECT row_id, key, row_number() OVER (ORDER BY candidate_rank) AS position FROM (SELECT *, (session_id, coalesce(message_id, local_identity), ordinal) AS key FROM candidates WHERE candidate_rank <= 20
+        QUALIFY row_number() OVER (PARTITION BY key ORDER BY candidate_rank) = 1))"""
 
 
 @query("reconciled_search", f"""WITH {_flat('a', 'short note', 'strict')}, {_flat('b', 'wrong title shard', 'strict')}, {_flat('c', 'zzqqx probabilistic', 'recall', 3)}, {_flat('d', 'qqzzx one', 'recall', 3)}, {_flat('e', 'wrong title shard', 'recall', 3)},
@@ -211,6 +212,46 @@ def rebuild_gap(spark, folder):
     return made.exceptAll(kept).withColumn("side", F.lit("ledger")).unionByName(kept.exceptAll(made).withColumn("side", F.lit("projection")))
 
 
+@query("shard_replay", f"""WITH {PATHS}, r AS (SELECT * FROM artifact_routes), sh AS (SELECT session_id FROM sessions WHERE session_id < '8'), cl AS (SELECT DISTINCT artifact_id FROM r WHERE accepted_session_id IN (SELECT accepted_session_id FROM r WHERE projected_session_id IN (SELECT session_id FROM sh))),
+    p AS (SELECT DISTINCT m.session_id, m.local_identity FROM paths x JOIN messages m USING (row_id) WHERE artifact_id IN (SELECT artifact_id FROM cl) AND m.session_id IN (SELECT session_id FROM sh)), k AS (SELECT DISTINCT session_id, local_identity FROM messages WHERE session_id IN (SELECT session_id FROM sh))
+    SELECT 'projection' AS side, k.session_id, k.local_identity FROM k ANTI JOIN p USING (session_id, local_identity) UNION ALL SELECT 'ledger', p.session_id, p.local_identity FROM p ANTI JOIN k USING (session_id, local_identity)""")
+def shard_replay(spark, folder):
+    """A shard's messages made anew of the artifacts that bear on it against the stored ones."""
+    keys, sessions = ["session_id", "local_identity"], table(spark, folder, "sessions").where(OF_SHARD).select("session_id")
+    own = _occurrences(spark, folder).join(corpus.closure(table(spark, folder, "artifact_routes"), sessions), "artifact_id", "left_semi")
+    made = ingest.project(own).join(sessions, "session_id", "left_semi").select(*keys)
+    kept = table(spark, folder, "messages").join(sessions, "session_id", "left_semi").select(*keys).distinct()
+    return made.exceptAll(kept).withColumn("side", F.lit("ledger")).unionByName(kept.exceptAll(made).withColumn("side", F.lit("projection")))
+
+
+@query("linked_promotion", """WITH o AS (SELECT *, CASE WHEN search_class = 'dialogue' AND text <> '' THEN 0 WHEN search_class = 'evidence' THEN 1 ELSE 2 END AS p FROM messages WHERE message_id IS NOT NULL)
+    SELECT message_id, canonical_message_sha256, row_id, session_id, search_class, count(*) OVER (PARTITION BY message_id, canonical_message_sha256) AS linked FROM o QUALIFY row_number() OVER (PARTITION BY message_id, canonical_message_sha256 ORDER BY p, row_id) = 1""")
+def linked_promotion(spark, folder):
+    return corpus.promoted(table(spark, folder, "messages"))
+
+
+def _bytes(text: str) -> str:
+    return f"list_sum([strlen(x) FOR x IN list_distinct(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'))])"
+
+
+_PARTS = ["text", *[f"left(text, length(text) // {2**k})" for k in range(1, 13)]]
+
+
+@query("guarded_lexemes", f"WITH g AS (SELECT doc_id, CASE {' '.join(f'WHEN coalesce({_bytes(x)}, 0) <= 1500 THEN {x}' for x in _PARTS)} ELSE '' END AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, t, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM g) SELECT doc_id, length(t)::BIGINT AS kept_chars, len(list_distinct(w)) AS lexemes, len(w) AS places FROM w")
+def guarded_lexemes(spark, folder):
+    own = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(F.array(guarded(F.col("text"), 1500))).alias("t"))
+    own = own.withColumn("w", F.explode(F.array(tokens(F.col("t")))))
+    return own.select("doc_id", F.length("t").cast("bigint").alias("kept_chars"), F.size(F.array_distinct("w")).cast("bigint").alias("lexemes"), F.size("w").cast("bigint").alias("places"))
+
+
+@query("staged_items", "SELECT item_id, query_lang, query_text, passage FROM eval_items")
+def staged_items(spark, folder):
+    own = table(spark, folder, "eval_items").select("item_id", "query_lang", "query_text", "passage")
+    at = shared_path(spark, "staged")
+    stage(own, at)
+    return staged(spark, at, own.schema)
+
+
 @query("ingest_order", """WITH o AS (SELECT a.artifact_id, coalesce(accepted_session_id, 'artifact:' || a.artifact_id) AS unit FROM artifacts a LEFT JOIN artifact_routes r USING (artifact_id)), f AS (SELECT DISTINCT accepted_session_id AS unit FROM artifact_routes WHERE route_state = 'BRANCH_MATCH')
     SELECT artifact_id, o.unit, CASE WHEN f.unit IS NULL THEN 1 ELSE 0 END AS family FROM o LEFT JOIN f ON o.unit = f.unit""")
 def ingest_order(spark, folder):

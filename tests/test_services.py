@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog import shared
+from stratalog import cli, shared
 from stratalog.operators import browse, feedback, ingest
 from stratalog.operators import search as s
 from stratalog.operators.index import build_index
@@ -136,3 +136,20 @@ def test_small_files_appear_once(spark, tmp_path):
     assert not shared.write_text(spark, at, "2") and shared.read_text(spark, at) == "é1"
     assert shared.write_text(spark, at, "3", replace=True) and shared.read_text(spark, at) == "3"
     assert [n for n in shared.children(spark, f"file://{tmp_path}/deep") if not n.startswith(".")] == ["x.json"]
+
+
+def test_the_command_line(spark, tmp_path):
+    rows = [(i, "s", i, f"m{i}", f"id:{i}", "user", "dialogue", None, t) for i, t in enumerate(["old ledger", "old ledger", "new page"])]
+    m = spark.createDataFrame(rows, "row_id bigint, session_id string, ordinal int, message_id string, local_identity string, role string, search_class string, create_time double, text string")
+    m.write.parquet(f"file://{tmp_path}/messages.parquet")
+    go = lambda *argv: [json.loads(x) for x in cli.answer(spark, argv)]
+    folder = f"file://{tmp_path}"
+    head, *groups = go("search", folder, "ledger")
+    assert head["status"] == "FOUND" and [g["occurrence_count"] for g in groups] == [2]
+    assert go("search", folder, "absent")[0]["status"] == "NO_SIGNAL" and "error" in go("search", folder, "  ")[0]
+    page = go("page", folder, "s", "--limit", "2")[0]
+    assert [x["text"] for x in page["messages"]] == ["old ledger"] * 2
+    assert go("page", folder, "s", "--cursor", page["next_cursor"])[0]["messages"][0]["text"] == "new page"
+    m.write.mode("append").parquet(f"{folder}/messages.parquet")
+    assert go("page", folder, "s", "--cursor", page["next_cursor"]) == [{"error": "the cursor is stale"}]
+    assert go("run", folder, "no such query") == [{"error": "no query no such query"}]
