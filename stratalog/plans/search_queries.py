@@ -239,7 +239,8 @@ def federated_flat_merge(spark, folder):
 
 @query("federated_grouped_merge", f"""WITH {SHARD_HITS} SELECT row_number() OVER (ORDER BY min(merged_rank)) AS group_rank, text, count(*) AS occurrence_count, string_agg(shard_id || '#' || shard_rank, ',' ORDER BY merged_rank) AS places FROM merged GROUP BY text ORDER BY min(merged_rank) LIMIT 20""")
 def federated_grouped_merge(spark, folder):
-    out = fed.merge_groups(_hits(spark, folder), 20)
+    most = 30 * catalog(spark, folder).count()  # each shard's answer is bounded
+    out = fed.merge_groups(index(spark, folder).documents(_hits(spark, folder), most), 20)
     return out.select("group_rank", "text", "occurrence_count", F.array_join(F.transform("occurrences", lambda o: F.concat_ws("#", o["shard_id"], o["shard_rank"].cast("string"))), ",").alias("places"))
 
 
