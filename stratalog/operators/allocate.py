@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +17,22 @@ def estimated_size(volume: DataFrame) -> DataFrame:
     return volume.withColumn("size", (F.col("searchable_bytes") + F.col("searchable_messages") * BYTES_PER_MESSAGE).cast("bigint"))
 
 
-def allocate(sessions: DataFrame, target: int, hard_limit: int) -> DataFrame:
+def allocate(sessions: DataFrame, target: int, hard_limit: int, keep_over: bool = False) -> DataFrame:
     """Next-fit: a provider's sessions in order of acceptance fill a shard until one doesn't fit; a shard is never opened again.
 
     ``sessions``: provider, session_id, first_accepted_at, size. Providers are
-    worked on apart, on three narrow columns. A session above ``hard_limit``
-    fails the job, one above ``target`` gets a shard of its own.
+    worked on apart, on three narrow columns. A session above ``target`` gets
+    a shard of its own. One above ``hard_limit`` fails the job; with
+    ``keep_over`` it too gets a shard of its own and a warning names it.
     """
     if hard_limit < target:
         raise ValueError("the hard limit is under the target")
     too_big = sessions.where(F.col("size") > hard_limit).limit(1).collect()
     if too_big:
-        raise ValueError(f"session {too_big[0]['session_id']} is larger than any shard")
+        said = f"session {too_big[0]['session_id']} is larger than any shard"
+        if not keep_over:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["first_accepted_at", "session_id"], na_position="last")

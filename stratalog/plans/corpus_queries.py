@@ -516,7 +516,8 @@ ALLOCATED = f"""{SIZED}, seq AS (SELECT *, row_number() OVER (PARTITION BY provi
 
 def _allocated(spark, folder):
     own = _volume(spark, folder).join(_homes(spark, folder).select("session_id", "provider"), "session_id").join(table(spark, folder, "sessions").select("session_id", "first_accepted_at"), "session_id")
-    return allocate.allocate(allocate.estimated_size(own), TARGET, HARD)
+    # the SQL lays out every session, whatever its size
+    return allocate.allocate(allocate.estimated_size(own), TARGET, HARD, keep_over=True)
 
 
 @query("shard_allocation", f"WITH RECURSIVE {ALLOCATED} SELECT provider, session_id, shard::BIGINT AS shard, size::BIGINT AS size FROM alloc")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.digest import canonical_json, set_digest, table_digest
 from stratalog.operators import allocate, audit, browse, corpus, evaluate, federate, feedback, generations, trees
+from stratalog.plans import corpus_queries
 
 
 def test_set_digest_and_table_digest(spark):
@@ -147,6 +148,26 @@ def test_allocation_never_reopens_a_shard(spark):
         allocate.allocate(df, 100, 140)
 
 
+def test_allocation_keeps_sessions_above_the_hard_limit(spark):
+    rows = [("p", "a", "1", 60), ("p", "b", "2", 30), ("p", "c", "3", 150), ("p", "d", None, 10), ("q", "e", "5", 170)]
+    df = spark.createDataFrame(rows, "provider string, session_id string, first_accepted_at string, size bigint")
+    with pytest.warns(UserWarning, match="larger than any shard"):
+        got = allocate.allocate(df, 100, 140, keep_over=True)
+    assert {r.session_id: r.shard for r in got.collect()} == {"a": 1, "b": 1, "c": 2, "d": 3, "e": 1}
+    assert {(r.provider, r.shard): (r.sessions, r.size, r.headroom_tenths) for r in allocate.allocation_summary(got, 100).collect()} == {("p", 1): (2, 90, 100), ("p", 2): (1, 150, 0), ("p", 3): (1, 10, 900), ("q", 1): (1, 170, 0)}
+
+
+@pytest.mark.parametrize("query", ["shard_allocation"])
+def test_allocation_queries_keep_sessions_above_the_hard_limit(spark, monkeypatch, query):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(corpus_queries, "HARD", corpus_queries.TARGET)
+    monkeypatch.setattr(allocate, "BYTES_PER_MESSAGE", 1_000_000)
+    with pytest.warns(UserWarning, match="larger than any shard"):
+        got = corpus_queries.QUERIES[query](spark, folder).collect()
+    assert max(r["size"] for r in got) > corpus_queries.HARD
+    assert sum(r["sessions"] if "sessions" in r else 1 for r in got) == spark.read.parquet(f"{folder}/sessions.parquet").count()
+
+
 def nodes(spark, rows):
     return spark.createDataFrame(rows, "tree_id string, node_id string, parent_id string, create_time double")
 
