@@ -157,7 +157,7 @@ def test_allocation_keeps_sessions_above_the_hard_limit(spark):
     assert {(r.provider, r.shard): (r.sessions, r.size, r.headroom_tenths) for r in allocate.allocation_summary(got, 100).collect()} == {("p", 1): (2, 90, 100), ("p", 2): (1, 150, 0), ("p", 3): (1, 10, 900), ("q", 1): (1, 170, 0)}
 
 
-@pytest.mark.parametrize("query", ["shard_allocation"])
+@pytest.mark.parametrize("query", ["shard_allocation", "shard_summary"])
 def test_allocation_queries_keep_sessions_above_the_hard_limit(spark, monkeypatch, query):
     folder = "/root/testdata/sf0.001"
     monkeypatch.setattr(corpus_queries, "HARD", corpus_queries.TARGET)
