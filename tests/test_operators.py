@@ -168,6 +168,25 @@ def test_allocation_queries_keep_sessions_above_the_hard_limit(spark, monkeypatc
     assert sum(r["sessions"] if "sessions" in r else 1 for r in got) == spark.read.parquet(f"{folder}/sessions.parquet").count()
 
 
+def test_shard_summary_equals_its_sql_with_a_session_above_the_hard_limit(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    n = corpus_queries.HARD // allocate.BYTES_PER_MESSAGE + 1
+    tables = {
+        "sessions": spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", None), ("f", "1"), ("g", None)], "session_id string, first_accepted_at string"),
+        "artifacts": spark.createDataFrame([(i, s, p) for i, (s, p) in enumerate([*((s, "p") for s in "abcde"), ("f", "q"), ("a", "q")])], "artifact_id bigint, session_id string, source_adapter string"),
+        "messages": spark.range(n + 10).selectExpr(f"if(id < {n}, 'c', substr('abdef', int(id) % 5 + 1, 1)) AS session_id", "if(id % 5 = 4, 'hidden', 'dialogue') AS search_class", "'x\u00e9' AS text").union(spark.range(n // 4 + 1).selectExpr("'c'", "'dialogue'", "'x'")),
+    }
+    db = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    with pytest.warns(UserWarning, match="session c is larger than any shard"):
+        got = corpus_queries.QUERIES["shard_summary"](spark, str(tmp_path)).select("provider", "shard", "sessions", "size", "headroom_tenths").collect()
+    assert max(r["size"] for r in got) > corpus_queries.HARD
+    assert sum(r["sessions"] for r in got) == 7
+    assert sorted(map(tuple, got)) == sorted(db.execute(f"SELECT provider, shard, sessions, size, headroom_tenths FROM ({corpus_queries.ORACLE['shard_summary']})").fetchall())
+
+
 def nodes(spark, rows):
     return spark.createDataFrame(rows, "tree_id string, node_id string, parent_id string, create_time double")
 
